@@ -69,17 +69,10 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def bounds(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts = edge[int(inside[0]) ^ 1 :: 2] if len(inside) else edge
-    ends = edge[int(inside[0]) :: 2] if len(inside) else edge
-    if len(inside) and inside[0]:
-        starts, ends = edge[1::2], edge[0::2]
-        starts = np.concatenate([[0], starts])
-    else:
-        starts, ends = edge[0::2], edge[1::2]
-    if len(inside) and inside[-1]:
-        ends = np.concatenate([ends, [len(inside)]])
-    return starts.astype(np.int64), ends.astype(np.int64)
+    padded = np.zeros(len(inside) + 2, bool)
+    padded[1:-1] = inside
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
+    return edge[::2], edge[1::2]
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
@@ -130,3 +123,41 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     delta[starts] += 1
     delta[starts + size] -= 1
     return np.cumsum(delta[:-1]) > 0
+
+
+def pick(docs, **kinds: str):
+    """The named columns, cast; found by their exact names, whatever other columns there are."""
+    from pyspark.sql import functions as F
+
+    names = docs.columns
+    for name in kinds:
+        if name not in names:
+            raise ValueError(f"no column {name} in {names}")
+    inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    return inner.select(*[F.col(f"_c{names.index(name)}").cast(kind).alias(name) for name, kind in kinds.items()])
+
+
+def appended(docs, text: str, run, fields: dict[str, str]):
+    """docs with columns appended by run(texts, own columns of the batch) -> arrays in the order of fields.
+
+    Columns of docs are passed on by position, so that their names may be anything; the new ones stand last.
+    """
+    from pyspark.sql import types as T
+
+    names, at = docs.columns, docs.columns.index(text)
+    inner = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    new = T.StructType.fromDDL(", ".join(f"_n{i} {kind}" for i, kind in enumerate(fields.values())))
+    schema = T.StructType([*inner.schema.fields, *new.fields])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, f"_c{at}"):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *run(as_bytes(batch.column(at)), batch)], names=[f.name for f in schema])
+
+    return inner.mapInArrow(each, schema).toDF(*names, *fields)
+
+
+def unused(prefix: str, names: list[str]) -> str:
+    """prefix, with more underscores as long as a name starts with it."""
+    while any(n.lower().startswith(prefix.lower()) for n in names):
+        prefix = f"_{prefix}"
+    return prefix

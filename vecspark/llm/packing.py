@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import stored
-from ._text import pieces
+from ._text import pick, pieces
 from ._tokenize import load
 
 #: Pieces of a partition, about.
@@ -55,7 +55,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | Non
     """The pieces of docs (doc_id, text): a document of more than capacity ids is cut into pieces of capacity, its
     first one being what is left over. A null text is an empty one; a document without any id has no piece.
     row numbers the documents, so that rows that share a doc_id stay apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = pick(docs, doc_id="long", text="string")
     return rows.mapInArrow(_cut(tokenizer, capacity, end_id), PIECES)
 
 

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.session import fresh_path, ready
+from ._text import pick
 from ._tokenize import vocabulary
+from .decontaminate import report
 from .packing import pack_documents
+from .quality import assess
+from .simhash import near_duplicates
 from .tokens import read_documents, write_tokens
 
 
@@ -20,9 +25,22 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op4_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, bits=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(pick(_table(spark, sf_dir, "documents"), doc_id="long", text="string")).drop("text")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_codes, op7_best_fit_packing)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination)}
 SQL: dict[str, str] = {}

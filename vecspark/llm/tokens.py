@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._text import pieces
+from ._text import pick, pieces
 from ._tokenize import load
 
 #: Bits of each level; the last takes what is left of 32.
@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     tokenizer: a file of the tokenizers library, at the same place on every executor. end_id is appended to each
     document. A null text is an empty one; a null doc_id comes first; rows that share a doc_id stand in order of text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = pick(docs, doc_id="long", text="string")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_shards(tokenizer, end_id, shard_ids), SHARD_SCHEMA).write.parquet(path)
