@@ -12,6 +12,7 @@ from .decontaminate import report
 from .packing import pack_documents
 from .quality import assess
 from .simhash import near_duplicates
+from .substring import dedup
 from .tokens import read_documents, write_tokens
 
 
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(_table(spark, sf_dir, "documents"), window=50, keep_text=False).drop("kept_text")
+
+
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(ready(spark), "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -42,5 +47,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination)}
 SQL: dict[str, str] = {}
