@@ -8,19 +8,23 @@ import re
 import numpy as np
 
 #: Words whose ids a worker keeps; it encodes later ones each time.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
 #: A text with these is encoded as a whole: characters that Python and the library may not both count as white space.
 _ODD = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]")
 _AHEAD = re.compile(r"(?= \S)")
 _RUN = re.compile(r" \s| $")
-_POINTS = frozenset(".,")
+#: Points that don't stand after one of these letters and digits; after them a point begins a pre-token, and is parted.
+_POINT = re.compile("(?:^|[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[.,]")
+#: What Python and the library may lower-case in different ways; other texts are lower-cased for an uncased tokenizer.
+_CASED = re.compile("[\u0130\u0131\u017f\u0180-\U0010ffff]")
+#: Stands for "no blank before this"; a text that has it is encoded as a whole.
+_JOINED = "\x01"
 #: Beyond this many characters between blanks, a word is encoded without being kept.
 _LONG = 64
 
 
 class _Ids(dict):
-    """The ids of each word. A full stop or comma after a letter is a pre-token of its own wherever words are parted,
-    so that what stands before it is looked up alone."""
+    """The ids of each word."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -30,10 +34,7 @@ class _Ids(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in _POINTS and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        else:
-            ids = self.encode(word)
+        ids = self.encode(word[2:] if word[1:2] == _JOINED else word)
         if len(self) < KEPT_WORDS and len(word) <= _LONG:
             self[word] = ids
         return ids
@@ -43,7 +44,7 @@ class WordTokenizer:
     """encode(text) gives the ids of Tokenizer.encode(text, add_special_tokens=False), as little-endian 32-bit integers.
 
     The text is cut only where the tokenizer's own pre-tokenizer always cuts: before a single blank that stands before
-    something else than white space. Where that does not hold for a tokenizer, or an added token could reach over a
+    something else than white space, and between a letter or digit and a point. Where that does not hold for a tokenizer, or an added token could reach over a
     blank, whole texts are encoded.
     """
 
@@ -58,6 +59,7 @@ class WordTokenizer:
         plain = not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in added)
         probe = self.tokenizer.encode("a b", add_special_tokens=False).tokens
         self.drops = plain and len(probe) == 2 and not any(t.startswith(("Ġ", " ", "▁")) for t in probe)
+        self.folds = all(self.ids.encode(a) == self.ids.encode(b) for a, b in (("A", "a"), ("\u00c9t\u00c9 THE", "\u00e9t\u00e9 the")))
         self.keeps = plain and not self.drops and isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
 
     def encode(self, text: str | None) -> bytes:
@@ -65,10 +67,17 @@ class WordTokenizer:
             return b""
         if not (self.drops or self.keeps) or _ODD.search(text):
             return self.ids.encode(text)
+        parted = not _POINT.search(text)
         if self.drops:
+            if self.folds and not _CASED.search(text):
+                text = text.lower()
+            if parted:
+                text = text.replace(".", " .").replace(",", " ,")
             return b"".join(map(self.ids.__getitem__, text.split()))
         if _RUN.search(text):
             return b"".join(map(self.ids.__getitem__, filter(None, _AHEAD.split(text))))
+        if parted:
+            text = text.replace(".", f" {_JOINED}.").replace(",", f" {_JOINED},")
         first, *rest = text.split(" ")
         return (self.ids[first] if first else b"") + b"".join(map(self.ids.__getitem__, map(" ".__add__, rest)))
 
