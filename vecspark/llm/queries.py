@@ -9,6 +9,7 @@ from ..plans.session import fresh_path, ready
 from ._text import pick
 from ._tokenize import vocabulary
 from .decontaminate import report
+from .langid import evaluate
 from .packing import pack_documents
 from .quality import assess
 from .simhash import near_duplicates
@@ -24,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents"), window=50, keep_text=False).drop("kept_text")
 
 
+def op2_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(ready(spark), "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -47,5 +52,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_rank_profiles, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination)}
 SQL: dict[str, str] = {}
