@@ -10,6 +10,7 @@ from ._text import pick
 from ._tokenize import vocabulary
 from .decontaminate import report
 from .langid import evaluate
+from .lines import dedup_lines
 from .packing import pack_documents
 from .quality import assess
 from .simhash import near_duplicates
@@ -52,5 +53,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_rank_profiles, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(_table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    return dedup_lines(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_near").alias("n_near"), kept)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_rank_profiles, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination, op9_line_dedup)}
 SQL: dict[str, str] = {}
