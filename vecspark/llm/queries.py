@@ -16,6 +16,7 @@ from .quality import assess
 from .simhash import near_duplicates
 from .substring import dedup
 from .tokens import read_documents, write_tokens
+from .urls import Rule, judge, labelled, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +60,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_near").alias("n_near"), kept)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_rank_profiles, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination, op9_line_dedup)}
+URL_RULES = [Rule(False, "com", "/en/"), Rule(True, "example.com", "/en/7"), Rule(True, "net", "/de/"), Rule(False, "example.net", "/de/8"), Rule(False, "org", "/es/")]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES, train(labelled(spark)))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_rank_profiles, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination, op9_line_dedup, op10_url_filters)}
 SQL: dict[str, str] = {}
