@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import fresh_path, ready
+from . import warc
 from ._text import pick
 from ._tokenize import vocabulary
 from .decontaminate import report
@@ -46,6 +47,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(pick(_table(spark, sf_dir, "documents"), doc_id="long", text="string")).drop("text")
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record that the builder derives, with digests for its block."""
+    records = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    named = lambda n: F.try_element_at(F.filter("headers", lambda h: h["name"] == n), F.lit(1))["value"]
+    return records.select(F.col("source_id").alias("page_id"), "type", "record_id", "refers_to", named("WARC-Target-URI").alias("target_uri"), named("WARC-Date").alias("date"), named("WARC-Source-Payload-Digest").alias("source_digest"), named("WARC-Block-Digest").alias("block_digest"), F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("block", 256).alias("block_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -67,5 +75,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), URL_RULES, train(labelled(spark)))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_rank_profiles, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op7_best_fit_packing, op8_decontamination, op9_line_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_rank_profiles, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op6_warc_derivatives, op7_best_fit_packing, op8_decontamination, op9_line_dedup, op10_url_filters)}
 SQL: dict[str, str] = {}
