@@ -12,9 +12,9 @@ KEPT_WORDS = 700_000
 #: A text with these is encoded as a whole: characters that Python and the library may not both count as white space.
 _ODD = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]")
 _AHEAD = re.compile(r"(?= \S)")
-_RUN = re.compile(r" \s| $")
+_RUNS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
 #: Points that don't stand after one of these letters and digits; after them a point begins a pre-token, and is parted.
-_POINT = re.compile("(?:^|[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[.,]")
+_POINT = re.compile("[.,](?<![0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,])")
 #: What Python and the library may lower-case in different ways; other texts are lower-cased for an uncased tokenizer.
 _CASED = re.compile("[\u0130\u0131\u017f\u0180-\U0010ffff]")
 #: Stands for "no blank before this"; a text that has it is encoded as a whole.
@@ -23,18 +23,35 @@ _JOINED = "\x01"
 _LONG = 64
 
 
+def _byte_level() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones of Latin-1 for themselves, the
+    others in order from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+_BYTES = _byte_level()
+
+
+def byte_level(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_BYTES)
+
+
 class _Ids(dict):
-    """The ids of each word."""
+    """The ids of each word, which stands after before; a word after _JOINED stands alone."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, before: str = ""):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.before, self.letters = tokenizer, before, None
 
     def encode(self, text: str) -> bytes:
+        if self.letters and self.letters.fullmatch(text):  # one pre-token, which the model takes as it is
+            return np.asarray([t.id for t in self.tokenizer.model.tokenize(byte_level(text))], "<u4").tobytes()
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word[2:] if word[1:2] == _JOINED else word)
+        ids = self.encode(word[1:] if word[:1] == _JOINED else self.before + word)
         if len(self) < KEPT_WORDS and len(word) <= _LONG:
             self[word] = ids
         return ids
@@ -54,14 +71,23 @@ class WordTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids = _Ids(self.tokenizer)
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.ids, self.after = _Ids(self.tokenizer), _Ids(self.tokenizer, " ")
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
         plain = not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in added)
         probe = self.tokenizer.encode("a b", add_special_tokens=False).tokens
         self.drops = plain and len(probe) == 2 and not any(t.startswith(("Ġ", " ", "▁")) for t in probe)
         self.folds = all(self.ids.encode(a) == self.ids.encode(b) for a, b in (("A", "a"), ("\u00c9t\u00c9 THE", "\u00e9t\u00e9 the")))
         self.keeps = plain and not self.drops and isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
 
+        # letters that no normalizer here changes, alone or after a blank, if the model's ids for them are the tokenizer's
+        letters = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+" if self.drops else " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+        probes = ["the", "a", "ionization", "qzxw", "\u00e9t\u00e9", "stra\u00dfe", "\u00ff", *([] if self.drops else ["The", " of", " \u00c9t\u00e9", " qzXW", "s", " re"])]
+        if (self.drops or self.keeps) and not any(t.content.isalpha() for t in added):
+            whole = [self.ids.encode(p) for p in probes]
+            self.ids.letters = self.after.letters = letters
+            if whole != [self.ids.encode(p) for p in probes]:
+                self.ids.letters = self.after.letters = None
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -74,12 +100,12 @@ class WordTokenizer:
             if parted:
                 text = text.replace(".", " .").replace(",", " ,")
             return b"".join(map(self.ids.__getitem__, text.split()))
-        if _RUN.search(text):
+        if text[-1] == " " or any(run in text for run in _RUNS):
             return b"".join(map(self.ids.__getitem__, filter(None, _AHEAD.split(text))))
         if parted:
             text = text.replace(".", f" {_JOINED}.").replace(",", f" {_JOINED},")
         first, *rest = text.split(" ")
-        return (self.ids[first] if first else b"") + b"".join(map(self.ids.__getitem__, map(" ".__add__, rest)))
+        return (self.ids[first] if first else b"") + b"".join(map(self.after.__getitem__, rest))
 
 
 _loaded: dict[str, WordTokenizer] = {}
