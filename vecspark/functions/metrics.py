@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,8 +150,6 @@ def custom(name: str, column: Callable[[Column, Column], Column] | None = None,
     if column is None and kernel is None:
         raise TypeError("a custom metric needs a column expression or a kernel")
     if column is None:
-        import pandas as pd
-
         @F.pandas_udf("double")
         def score(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series([float(kernel(np.asarray(x)[None], np.asarray(y)[None])[0, 0]) for x, y in zip(a, b, strict=True)])

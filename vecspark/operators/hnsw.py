@@ -166,6 +166,7 @@ class HnswIndex:
             raise ValueError(f"k must be positive, not {k}")
         field, own, like = self.field, np.asarray(query_of(self.field, q)), _like(self.field)
         wide = max(ef or field.index.ef_search, k)
+        each, name_of_key = k if live is None else wide, self.key
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -173,10 +174,9 @@ class HnswIndex:
                     graph, kept = Graph(field.index.m, wide, like, 0), json.loads(row["links"])
                     graph.vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], row["dims"])
                     graph.links, graph.entry = [{int(a): b for a, b in level.items()} for level in kept["links"]], kept["entry"]
-                    found, keys = graph.search(own, wide if live is not None else k, wide), json.loads(row["keys"])
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for _, i in found], kind), pa.array([s for s, _ in found], pa.float64())], names=[self_key, SCORE])
+                    found, keys = graph.search(own, each, wide), json.loads(row["keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for _, i in found], kind), pa.array([s for s, _ in found], pa.float64())], names=[name_of_key, SCORE])
 
-        self_key = self.key
         text = self.shards.select(F.get_json_object("keys", "$[0]")).first() if self.n else None
         sample = json.loads(self.shards.select("keys").first()["keys"])[0] if text else 0
         kind, name = (pa.string(), "string") if isinstance(sample, str) else (pa.int64(), "long")
