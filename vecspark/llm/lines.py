@@ -12,7 +12,8 @@ is a half of the other as well, so lines whose half hashes no other line has are
 nothing.
 
 Documents are dealt to chunks by a hash of doc_id; keys travel in one compressed row for each pair of chunk and bucket,
-each key once for each chunk, with its earliest line. All passes read the documents from one exchange.
+each key once for each chunk, with its earliest line. A chunk asks for the text of each partner once. All passes read
+the documents from one exchange.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 _EXACT = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 _HALF = np.dtype([("key", "<u8"), ("tag", "<u8"), ("many", "u1")])
 _VARIANT = np.dtype([("a", "<u8"), ("b", "<u8"), ("at", "<i4"), ("doc", "<i8"), ("line", "<i4")])
-_REPLY = "chunk long, kind int, doc long, line int, data binary"
-_NAMES = ["chunk", "kind", "doc", "line", "data"]
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+_PLACE = np.dtype([("doc", "<i8"), ("line", "<i4")])
+_REPLY = "chunk long, kind int, data binary"
+_NAMES = ["chunk", "kind", "data"]
+_TYPES = [pa.int64(), pa.int32(), pa.binary()]
 _FIRST, _SHARED, _PARTNER, _TEXT = range(4)
 
 
@@ -71,7 +73,7 @@ _SENT = "bucket long, chunk long, kind int, data binary"
 
 def _reply(chunks: list, kind: int, data: list[np.ndarray]) -> pa.Table:
     on = [k for k, d in enumerate(data) if len(d)]
-    columns = [[chunks[k] for k in on], [kind] * len(on), [None] * len(on), [None] * len(on), [_squeeze(data[k]) for k in on]]
+    columns = [[chunks[k] for k in on], [kind] * len(on), [_squeeze(data[k]) for k in on]]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
@@ -99,7 +101,8 @@ class _Chunk:
         self.first = np.searchsorted(starts, self.low)
         self.last = np.concatenate([self.first[1:], [len(starts)]])
         self.words = self.last - self.first
-        self.one, self.two = (Sequences(word_hashes(buf, starts, ends, k), k) for k in (0, 1))
+        hashes = word_hashes(buf, starts, ends)
+        self.one, self.two = Sequences(hashes, 0), Sequences(mix(hashes), 1)
         lines = np.flatnonzero((self.words >= LINE_WORDS) & known[owner])
         h, g = self.one.runs(self.first[lines], self.last[lines]), self.two.runs(self.first[lines], self.last[lines])
         order = np.lexsort((lines, g, h))
@@ -323,22 +326,30 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
         own = own[_heads(own["a"], own["b"], own["at"])] if len(own) else own
         return _messages(chunk.number, own, own["a"], buckets, _PARTNER)
 
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _partners(_Chunk(left, d, t), _by_kind(right)) if left.num_rows else [np.empty(0, np.int64)] * 4
-        return pa.table({n: pa.array(v.astype(np.int64), pa.int64()) for n, v in zip(("doc", "line", "to_doc", "to_line"), found, strict=True)})
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A row for each line that is the earliest partner of lines here, with their places."""
+        doc, line, to_doc, to_line = _partners(_Chunk(left, d, t), _by_kind(right)) if left.num_rows else [np.empty(0, np.int64)] * 4
+        order = np.lexsort((to_line, to_doc))
+        rows = np.empty(len(order), _PLACE)
+        rows["doc"], rows["line"] = doc[order], line[order]
+        at = _heads(to_doc[order], to_line[order])
+        data = [p.tobytes() for p in np.split(rows, at[1:])] if len(rows) else []
+        own = left["chunk"][0].as_py() if left.num_rows else 0
+        return pa.table({"asked_by": pa.array([own] * len(at), pa.int64()), "to_doc": pa.array(to_doc[order][at], pa.int64()), "to_line": pa.array(to_line[order][at].astype(np.int64), pa.int64()), "data": pa.array(data, pa.binary())})
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        """The texts of the lines that are asked for, to those who ask."""
+        out = []
         if left.num_rows and right.num_rows:
-            chunk, first = _Chunk(left, d, t, hashed=False), {}
+            chunk, rows_of = _Chunk(left, d, t, hashed=False), {}
             for k, doc in enumerate(chunk.doc_ids):
-                first.setdefault(doc, []).append(k)
-            for doc, line in zip(right["to_doc"].to_pylist(), right["to_line"].to_pylist(), strict=True):
-                for k in first.get(doc, []):
-                    if chunk.begin[k] + line < chunk.begin[k + 1]:
-                        for column, value in zip(out, (doc, line, chunk.line(int(chunk.begin[k] + line))), strict=True):
-                            column.append(value)
-        return pa.table({"to_doc": pa.array(out[0], pa.int64()), "to_line": pa.array(out[1], pa.int64()), "data": pa.array(out[2], pa.binary())})
+                rows_of.setdefault(doc, []).append(k)
+            for by, doc, line, data in zip(*(right[c].to_pylist() for c in ("asked_by", "to_doc", "to_line", "data")), strict=True):
+                for k in rows_of.get(doc, []):
+                    if (i := int(chunk.begin[k]) + line) < chunk.begin[k + 1]:
+                        out.append((by, _TEXT, len(data).to_bytes(8, "little") + data + chunk.line(i)))
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -355,11 +366,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
         rows_of: dict[int, list[int]] = {}
         for k, doc in enumerate(chunk.doc_ids):
             rows_of.setdefault(doc, []).append(k)
-        for kind, doc, line, other in zip(right["kind"].to_pylist(), right["doc"].to_pylist(), right["line"].to_pylist(), right["data"].to_pylist(), strict=True):
-            for k in rows_of.get(doc, []) if kind == _TEXT else []:
-                i = int(chunk.begin[k] + line)
-                if i < chunk.begin[k + 1] and chunk.words[i] >= NEAR_WORDS and within_one_edit(chunk.line(i).split(), other.split()):
-                    close[i] |= not gone[i]
+        for data in said[_TEXT]:
+            n = int.from_bytes(data[:8], "little")
+            other = data[8 + n :].split()
+            for doc, line in np.frombuffer(data, _PLACE, n // _PLACE.itemsize, 8).tolist():
+                for k in rows_of.get(doc, []):
+                    i = int(chunk.begin[k]) + line
+                    if i < chunk.begin[k + 1] and chunk.words[i] >= NEAR_WORDS and within_one_edit(chunk.line(i).split(), other):
+                        close[i] |= not gone[i]
         texts, total, near_total = [], np.concatenate([[0], np.cumsum(gone | close)]), np.concatenate([[0], np.cumsum(close)])
         for text_, s, e in zip(chunk.texts, chunk.begin[:-1].tolist(), chunk.begin[1:].tolist(), strict=True):
             if text_ and total[e] > total[s]:
@@ -376,11 +390,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
     if near:
         keys = by_chunk().cogroup(settled.groupBy("chunk")).applyInArrow(send_variants, _SENT)
         partners = keys.groupBy("bucket").applyInArrow(_join, _REPLY)
-        pairs = by_chunk().cogroup(settled.unionAll(partners).groupBy("chunk")).applyInArrow(pair, "doc long, line long, to_doc long, to_line long")
-        wanted = pairs.select("to_doc", "to_line").distinct().withColumn("chunk", dealt("to_doc"))
-        told = by_chunk().cogroup(wanted.groupBy("chunk")).applyInArrow(tell, "to_doc long, to_line long, data binary")
-        texts = pairs.join(told, ["to_doc", "to_line"]).select(dealt("doc").alias("chunk"), F.lit(_TEXT).alias("kind"), "doc", F.col("line").cast("int").alias("line"), "data")
-        heard = settled.unionAll(texts)
+        asked = by_chunk().cogroup(settled.unionAll(partners).groupBy("chunk")).applyInArrow(ask, "asked_by long, to_doc long, to_line long, data binary")
+        asked = asked.withColumn("chunk", dealt("to_doc"))
+        heard = settled.unionAll(by_chunk().cogroup(asked.groupBy("chunk")).applyInArrow(tell, _REPLY))
     new = "_n_lines long, _n_removed long, _n_near long"
     out = by_chunk().cogroup(heard.groupBy("chunk")).applyInArrow(remove, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("chunk").schema) + f", {new}")
     return out.toDF(*names, "_n_lines", "_n_removed", "_n_near")
