@@ -26,7 +26,7 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and component, its least reachable node, for each node that has a link in links (a long, b long).
+    """node and component, the least node that it reaches, for each node of links (a long, b long) that reaches a lesser one.
 
     The links always hold a spanning structure of what they began with; after O(log n) rounds each is (node, least).
     """

@@ -50,7 +50,7 @@ def one_line(value: str | None) -> str:
 def plain_text(page: str | None) -> str:
     """What a page shows as text: scripts, styles and comments go, block elements part lines, entities are resolved,
     runs of blanks are one and empty lines go."""
-    shown = _HIDDEN.sub(" ", page or "")
+    shown = " ".join(_HIDDEN.sub(" ", page or "").split())
     shown = _TAG.sub("", _BREAK.sub("\n", _TITLE.sub("\n", shown)))
     lines = (" ".join(line.split()) for line in html.unescape(shown).split("\n"))
     return "\n".join(line for line in lines if line)
@@ -130,20 +130,23 @@ def derive(records: DataFrame, keep: bool = False) -> DataFrame:
 
 
 _END = "\r\n\r\n"
+#: Between records; the type is each record's first header.
+_NEXT = f"{_END}WARC/1.1\r\nWARC-Type: "
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes records as WARC/1.1 files. A block that holds the start of a record after an empty line can't be told from
-    one when it is read, and read_warc() says so."""
-    lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\r\n")
-    whole = F.concat(F.lit("WARC/1.1\r\n"), lines, F.lit(_END), F.coalesce("block", F.lit("")), F.lit("\r\n"))
+    """Writes records as WARC/1.1 files. A record whose block could be taken for the beginning of another one when it is
+    read is an error: it can't be written so that read_warc() gives it back."""
+    rest = F.concat(F.array_join(F.transform(F.filter("headers", lambda h: h["name"] != "WARC-Type"), lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\r\n"), F.lit(_END), F.coalesce("block", F.lit("")), F.lit("\r\n"))
+    rest = F.when(F.contains(F.concat(rest, F.lit("\r\nWARC/1.1\r\n")), F.lit(f"{_NEXT}")), F.raise_error(F.lit("a block holds the beginning of a record"))).otherwise(rest)
+    whole = F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), "type", F.lit("\r\n"), rest)
     records.select(whole.alias("value")).write.option("lineSep", "\r\n").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """type, record_id, refers_to, headers and block of the records in path; blocks are cut to their Content-Length."""
-    rows = spark.read.option("lineSep", f"{_END}WARC/1.1\r\n").text(path)
-    value = F.regexp_replace("value", r"^WARC/1\.1\r\n", "")
+    rows = spark.read.option("lineSep", _NEXT).text(path)
+    value = F.concat(F.lit("WARC-Type: "), F.regexp_replace("value", r"^WARC/1\.1\r\nWARC-Type: ", ""))
     rows = rows.select(F.substring_index(value, _END, 1).alias("head"), value.alias("value"))
     pair = lambda x: F.struct(F.substring_index(x, ": ", 1).alias("name"), F.substr(x, F.instr(x, ": ") + 2).alias("value"))
     rows = rows.select(F.transform(F.split("head", "\r\n"), pair).alias("headers"), F.substr("value", F.length("head") + 5).cast("binary").alias("block"))
@@ -151,4 +154,3 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     size = named("Content-Length").cast("int")
     block = F.when(F.octet_length("block") >= size, F.substring(F.col("block"), F.lit(1), size)).otherwise(F.raise_error(F.lit("a block is shorter than its Content-Length")))
     return rows.select(named("WARC-Type").alias("type"), named("WARC-Record-ID").alias("record_id"), named("WARC-Refers-To").alias("refers_to"), "headers", block.cast("string").alias("block"))
-
