@@ -50,8 +50,8 @@ def brute_substring(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size,run", [(5, 2), (7, 7), (6, 1)])
-def test_substring_dedup(spark, size, run):
+@pytest.mark.parametrize("size,run,chunk_bytes", [(5, 2, 200), (7, 7, 1 << 20), (6, 1, 2000)])
+def test_substring_dedup(spark, size, run, chunk_bytes):
     rng = random.Random(size)
     base = ["".join(rng.choice("abü") for _ in range(rng.randint(1, 2))) for _ in range(40)]
     rows = [(None, "a b a b a b a b"), (3, None), (4, ""), (5, "a"), (6, " \n\t "), (7, "x" * 3000)]
@@ -61,8 +61,8 @@ def test_substring_dedup(spark, size, run):
             at = rng.randint(0, 30)
             w += base[at : at + rng.randint(3, 12)] if rng.random() < 0.6 else [rng.choice("abcxyz") for _ in range(rng.randint(1, 8))]
         rows.append((rng.randint(10, 60), rng.choice([" ", "\n", "  "]).join(w)))
-    rows += rows[-5:]
-    got = substring.dedup(frame(spark, rows), window=size, run=run, chunk_bytes=200, bucket_bytes=300).collect()
+    rows += rows[-5:] + [(100 + d, t) for d, t in rows[20:40]]
+    got = substring.dedup(frame(spark, rows), window=size, run=run, chunk_bytes=chunk_bytes, bucket_bytes=300).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_substring(rows, size)
 
 
@@ -125,13 +125,13 @@ def edited(rng, line):
     return line
 
 
-@pytest.mark.parametrize("seed,near", [(4, True), (5, True), (6, False)])
-def test_line_dedup(spark, seed, near):
+@pytest.mark.parametrize("seed,near,chunk_bytes", [(4, True, 300), (5, True, 1 << 20), (6, False, 300), (7, True, 2000)])
+def test_line_dedup(spark, seed, near, chunk_bytes):
     rng = random.Random(seed)
     base = [[rng.choice("abcdefgh") for _ in range(rng.choice([4, 5, 7, 8, 9, 9, 10, 13]))] for _ in range(20)]
     rows = [(None, "a b c d e f g h i j"), (3, None), (4, ""), (5, "\n\n"), (6, "w " * 2000)]
     rows += [(i + 10, "\n".join(rng.choice([" ", "  "]).join(edited(rng, rng.choice(base))) for _ in range(rng.randint(0, 6)))) for i in range(60)]
-    got = lines.dedup_lines(frame(spark, rows), near=near, chunk_bytes=300, bucket_bytes=300).collect()
+    got = lines.dedup_lines(frame(spark, rows), near=near, chunk_bytes=chunk_bytes, bucket_bytes=300).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_lines(rows, near)
 
 

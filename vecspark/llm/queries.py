@@ -15,6 +15,7 @@ from .lines import dedup_lines
 from .packing import pack_documents
 from .quality import assess
 from .simhash import near_duplicates
+from .sql import SQL
 from .substring import dedup
 from .tokens import read_documents, write_tokens
 from .urls import Rule, judge, labelled, train
@@ -76,4 +77,3 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_rank_profiles, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op6_warc_derivatives, op7_best_fit_packing, op8_decontamination, op9_line_dedup, op10_url_filters)}
-SQL: dict[str, str] = {}

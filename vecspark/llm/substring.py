@@ -57,9 +57,10 @@ class _Chunk:
         self._super_kmers(word_hashes(buf, self.starts, self.ends), run, buckets)
 
     def _super_kmers(self, hashes: np.ndarray, run: int, buckets: int) -> None:
-        """first window, number of windows, bucket and entry of each; entry: of its bucket's different strings."""
+        """First window, number of windows, bucket, entry and lead of each; entry: of its bucket's different strings;
+        lead: the smallest doc_id here that has the string."""
         n, window = len(self.starts), self.window
-        self.at = self.count = self.bucket = self.entry = np.empty(0, np.int64)
+        self.at = self.count = self.bucket = self.entry = self.lead = np.empty(0, np.int64)
         self.sent: dict[int, list[tuple[bytes, int]]] = {}
         known = np.array([d is not None for d in self.doc_ids], bool)
         if n < window:
@@ -71,7 +72,7 @@ class _Chunk:
         stops = np.flatnonzero(np.concatenate([new[1:] | ~inside[1:], [True]]) & inside)
         self.at, self.count = heads, stops - heads + 1
         self.bucket = (least[heads] % U64(buckets)).astype(np.int64)
-        entry = np.empty(len(heads), np.int64)
+        entry, lead = np.empty(len(heads), np.int64), np.empty(len(heads), np.int64)
         seen: dict[int, dict[bytes, int]] = {}
         low, high = self.starts[heads].tolist(), self.ends[stops + window - 1].tolist()
         for k, (b, s, e, d) in enumerate(zip(self.bucket.tolist(), low, high, self.owner[heads].tolist(), strict=True)):
@@ -79,8 +80,8 @@ class _Chunk:
             if (i := own.get(text)) is None:
                 i = own[text] = len(own)
                 self.sent.setdefault(b, []).append((text, self.doc_ids[d]))  # the smallest comes first
-            entry[k] = i
-        self.entry = entry
+            entry[k], lead[k] = i, self.sent[b][i][1]
+        self.entry, self.lead = entry, lead
 
     def message(self, bucket: int) -> bytes:
         strings, docs = zip(*self.sent[bucket], strict=True)
@@ -91,6 +92,9 @@ class _Chunk:
         own = np.array([_NONE if d is None else d for d in self.doc_ids], np.int64)
         starts = [np.empty(0, np.int64)]
         if len(self.at):
+            again = self.lead < own[self.owner[self.at]]  # strings that an earlier document of this chunk has
+            count = self.count[again]
+            starts.append(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.at[again], count))
             order = np.lexsort((self.entry, self.bucket))
             code = self.bucket[order]
             for bucket, rows in answers.items():
