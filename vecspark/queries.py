@@ -105,10 +105,10 @@ def topk_filtered_overfetch(spark, sf_dir):
     return shown(search.topk_filtered(rows, "vec_id", EUCLIDEAN, query_vector(rows), K, "label < 3"))
 
 
-@_query(f"{scores(EXPR['euclidean'], SCALED[1])}, n AS (SELECT * FROM s ORDER BY s DESC, vec_id LIMIT 40) SELECT vec_id, label, round(s, 6) AS similarity FROM n WHERE vec_id % 50 = 0 ORDER BY s DESC, vec_id LIMIT 10")
+@_query(f"{scores(EXPR['euclidean'], SCALED[1])}, n AS (SELECT * FROM s ORDER BY s DESC, vec_id LIMIT 40) SELECT vec_id, label, round(s, 6) AS similarity FROM n WHERE label = 2 ORDER BY s DESC, vec_id LIMIT 10")
 def topk_filtered_under_k(spark, sf_dir):
     rows = base(spark, sf_dir, SCALED[0])
-    return shown(search.topk_filtered(rows, "vec_id", EUCLIDEAN, query_vector(rows), K, F.col("vec_id") % 50 == 0))
+    return shown(search.topk_filtered(rows, "vec_id", EUCLIDEAN, query_vector(rows), K, F.col("label") == 2))
 
 
 @_query(f"{scores(EXPR['euclidean'], SCALED[1])} SELECT vec_id, label, round(s, 6) AS similarity FROM s WHERE label < 3 ORDER BY s DESC, vec_id LIMIT 10")
@@ -255,18 +255,18 @@ def _orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-@_query(f"SELECT {_ORDERS} FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT {_ORDERS} FROM orders WHERE o_orderkey % 2 = 1")
+@_query(f"SELECT {_ORDERS} FROM orders")
 def add_range(spark, sf_dir):
     rows = _orders(spark, sf_dir)
-    return dml.add_range(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1"), "o_orderkey")
+    return dml.add_range(rows.where("o_orderstatus = 'O'"), rows.where("o_orderstatus <> 'O'"), "o_orderkey")
 
 
-@_query("SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 0 END AS o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+@_query("SELECT o_orderkey, o_custkey + CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 0 END AS o_custkey, o_orderstatus FROM orders")
 def upsert_range(spark, sf_dir):
     rows = _orders(spark, sf_dir)
-    part = rows.where("o_orderkey % 5 = 0")
+    part = rows.where("o_orderstatus = 'F'")
     twice = part.withColumns({"o_custkey": F.col("o_custkey") + 1, "n": F.lit(1)}).unionByName(part.withColumns({"o_custkey": F.col("o_custkey") + 2, "n": F.lit(2)}))
-    return dml.upsert_range(rows.where("o_orderkey % 3 = 0"), twice, "o_orderkey", order="n")
+    return dml.upsert_range(rows.where("o_orderstatus <> 'F' OR o_custkey > 100"), twice, "o_orderkey", order="n")
 
 
 @_query(f"SELECT {_ORDERS} FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -303,10 +303,10 @@ def scan_rows(spark, sf_dir):
 
 def _sources(spark, sf_dir):
     rows = _orders(spark, sf_dir)
-    return [rows.where("o_orderkey % 2 = 0").withColumn("src", F.lit(1)), rows.where("o_orderkey % 3 = 0").withColumn("src", F.lit(2)), rows.where("o_orderkey % 5 = 0").withColumn("src", F.lit(3))]
+    return [rows.withColumn("src", F.lit(1)), rows.where("o_orderstatus = 'O'").withColumn("src", F.lit(2)), rows.where("o_custkey > 100").withColumn("src", F.lit(3))]
 
 
-_SRC = "(SELECT o_orderkey, o_custkey, o_orderstatus, 1 AS src FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, 2 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, 3 FROM orders WHERE o_orderkey % 5 = 0)"
+_SRC = f"(SELECT {_ORDERS}, 1 AS src FROM orders UNION ALL SELECT {_ORDERS}, 2 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT {_ORDERS}, 3 FROM orders WHERE o_custkey > 100)"
 
 
 @_query(f"SELECT * FROM {_SRC}")
@@ -336,46 +336,46 @@ def _store(spark, name: str) -> Store:
     return Store(ready(spark), fresh_path(spark, name))
 
 
-@_query(f"{_SUMMED} WHERE vec_id % 3 <> 0")
+@_query(_SUMMED)
 def append_load(spark, sf_dir):
     rows, store = base(spark, sf_dir), _store(spark, "append")
-    store.append(STORED, rows.where("vec_id % 3 = 1"), None)
-    store.append(STORED, rows.where("vec_id % 3 = 2"), None)
+    for part in ("label < 3", "label BETWEEN 3 AND 6", "label > 6"):
+        store.append(STORED, rows.where(part), None)
     return _summed(store.load(STORED))
 
 
-@_query(f"{_SUMMED} WHERE vec_id % 4 <> 0 OR vec_id % 8 = 0")
+@_query(f"{_SUMMED} WHERE label <> 3 OR embedding[1] > 0")
 def tombstone_load(spark, sf_dir):
     rows, store = base(spark, sf_dir), _store(spark, "tombstones")
     store.append(STORED, rows, None)
-    store.append(STORED, None, rows.where("vec_id % 4 = 0").select("vec_id"))
-    store.append(STORED, rows.where("vec_id % 8 = 0"), None)  # what comes after a tombstone lives
+    store.append(STORED, None, rows.where("label = 3").select("vec_id"))
+    store.append(STORED, rows.where("label = 3 AND v[0] > 0"), None)  # what comes after a tombstone lives
     return _summed(store.load(STORED))
 
 
-@_query(f"{_SUMMED} WHERE vec_id % 4 <> 0")
+@_query(f"{_SUMMED} WHERE label <> 3")
 def compact_load(spark, sf_dir):
     rows, store = base(spark, sf_dir), _store(spark, "compact")
     store.append(STORED, rows, None)
-    store.append(STORED, None, rows.where("vec_id % 4 = 0").select("vec_id"))
+    store.append(STORED, None, rows.where("label = 3").select("vec_id"))
     store.compact(STORED)
     return _summed(store.load(STORED))
 
 
-@_query("SELECT 'items' AS table_name, count(*) AS n, true AS crc_valid FROM embeddings UNION ALL SELECT 'odd', count(*), true FROM embeddings WHERE vec_id % 2 = 1")
+@_query("SELECT 'items' AS table_name, count(*) AS n, true AS crc_valid FROM embeddings UNION ALL SELECT 'low', count(*), true FROM embeddings WHERE label < 5")
 def inspect_counts(spark, sf_dir):
     rows, store = base(spark, sf_dir), _store(spark, "inspect")
-    odd = TableSpec("odd", "vec_id", STORED.columns, STORED.vectors)
-    store.save({"items": (STORED, rows), "odd": (odd, rows.where("vec_id % 2 = 1"))})
+    low = TableSpec("low", "vec_id", STORED.columns, STORED.vectors)
+    store.save({"items": (STORED, rows), "low": (low, rows.where("label < 5"))})
     seen = store.inspect()
     return spark.createDataFrame([(n, c, seen["crc_valid"]) for n, c in seen["counts"].items()], "table_name string, n long, crc_valid boolean")
 
 
-@_query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, 2 AS source FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6), 1 FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0")
+@_query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, CASE WHEN label < 5 THEN 2 ELSE 1 END AS source FROM embeddings")
 def merge_stores_lww(spark, sf_dir):
     rows, paths = base(spark, sf_dir), []
     spec = TableSpec("items", "vec_id", (("vec_id", "long"), ("label", "int"), ("source", "int")), STORED.vectors)
-    for i, cut in ((1, "vec_id % 2 = 0"), (2, "vec_id % 3 = 0")):
+    for i, cut in ((1, "true"), (2, "label < 5")):
         store = _store(spark, f"source{i}")
         store.save({"items": (spec, rows.where(cut).withColumn("source", F.lit(i)).select("vec_id", "label", "source", "v"))})
         paths.append(store.path)
