@@ -30,7 +30,7 @@ from ._text import SPACE, U64, Sequences, as_bytes, bounds, mix, powers, word_ha
 #: Words of a line that can be removed, and of one that is compared within one edit, at least.
 LINE_WORDS, NEAR_WORDS = 5, 8
 #: Bytes of text of a chunk, and for each bucket, about.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 _EXACT = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 _HALF = np.dtype([("key", "<u8"), ("tag", "<u8"), ("many", "u1")])
 _VARIANT = np.dtype([("a", "<u8"), ("b", "<u8"), ("at", "<i4"), ("doc", "<i8"), ("line", "<i4")])
