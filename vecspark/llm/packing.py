@@ -23,8 +23,6 @@ from ._tokenize import load
 
 #: Pieces of a partition, about.
 PART_PIECES = 50_000
-#: Partitions whose partly filled bins meet in one partition of the next round.
-MEET = 8
 #: Rounds of exchange at most; fewer where all is certified.
 ROUNDS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
@@ -146,9 +144,8 @@ def pack(pieces_: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECE
         if gaps["n"] < 2:
             break
         settled.append(packed.where(~F.col("open")))
-        # whole bins move, so that what is not improved stays as it is; the open part of a partition is a part of it,
-        # and MEET of them meet, or as many as hold the pieces of one partition
-        n = max(1, min(gaps["n"] - 1, -(-gaps["pieces"] // part_pieces)), -(-gaps["pieces"] // (part_pieces * MEET)))
+        # whole bins move, so that what is not improved stays as it is
+        n = max(1, min(gaps["n"] - 1, -(-gaps["pieces"] // part_pieces)))
         moved = packed.where("open").withColumn("deal", F.pmod(F.xxhash64("part", "bin", F.lit(round_)), F.lit(n)).cast("long"))
         packed = stored(moved.groupBy("deal").applyInArrow(_pack(capacity, round_), _BINNED), "packed")
     settled.append(packed)

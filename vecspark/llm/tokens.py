@@ -30,6 +30,8 @@ CHUNKS = (8, 8, 16)
 RANK_BITS = 512
 #: Ids of a shard, a document more at most.
 SHARD_IDS = 1 << 20
+#: Bytes of input of a writing task, by Spark's own estimate, at most; and an estimate that is none.
+PART_BYTES, _UNKNOWN = 64 << 20, 1 << 60
 SHARD_SCHEMA = "part int, seq int, first_doc long, last_doc long, n_docs long, n_ids long, doc_ids binary, lengths binary, levels array<binary>, more array<binary>, ranks array<binary>"
 _TYPES = {8: "<u1", 16: "<u2", 32: "<u4"}
 
@@ -141,7 +143,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     document. A null text is an empty one; a null doc_id comes first; rows that share a doc_id stand in order of text.
     """
     rows = pick(docs, doc_id="long", text="string")
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES if size < _UNKNOWN else 1)
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_shards(tokenizer, end_id, shard_ids), SHARD_SCHEMA).write.parquet(path)
 
