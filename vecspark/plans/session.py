@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -32,9 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/vecspark/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, until release()."""
+    path = f"{shared_dir(spark)}/vecspark/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release)
+    _made[path] = spark
+    return path
+
+
+def release() -> None:
+    """Deletes what fresh_path() and stored() have led to; frames that still read it are of no use afterwards. It is
+    called when the program ends, and can be called before."""
+    while _made:
+        path, spark = _made.popitem()
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
