@@ -10,6 +10,7 @@ from test_tokens import check_packed
 import corpus_pipeline
 from vecspark.llm import quality
 from vecspark.llm.queries import QUERIES
+from vecspark.llm.simhash import SEEDS, WIDE_BITS
 
 SF = "/root/testdata/sf0.001"
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,9 +32,11 @@ def brute(docs, items):
     prints = {}
     for d, t in kept:
         w = words_of(t.lower())
-        values = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, len(w) - 4))] if w else []
-        prints[d] = sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
-    near = [(a, b) for a in prints for b in prints if b < a and (prints[a] ^ prints[b]).bit_count() <= 3]
+        prints[d] = []
+        for seed in SEEDS:
+            values = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), seed) for i in range(max(1, len(w) - 4))] if w else []
+            prints[d].append(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values)))
+    near = [(a, b) for a in prints for b in prints if b < a and sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= WIDE_BITS]
     part = brute_components(near, prints)
     kept = [(d, t) for d, t in kept if part[d] == d]
     hits = brute_hits(items, [t for _, t in kept])

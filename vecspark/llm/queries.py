@@ -41,7 +41,7 @@ def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, bits=3)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fps")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
