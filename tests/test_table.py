@@ -55,6 +55,15 @@ def test_null_vectors_are_kept_but_not_found(spark):
         strict.add(face(1, None))
 
 
+def test_calls_in_threads(spark):
+    t = VectorTable(spark, FACES)
+    assert t.submit("add_range", [face(i, (1, i)) for i in range(9)]).result() is None
+    found = [t.submit("search", [1, i], 1) for i in range(4)]
+    assert [f.result()[0]["id"] for f in found] == [f"p{i}" for i in range(4)]
+    with pytest.raises(ValueError):
+        t.submit("search", [1, 1], 0).result()
+
+
 @pytest.mark.parametrize("kind", ["flat", "kdtree", "ivf", "hnsw"])
 def test_indexes(spark, kind):
     spec = FACES.with_vector("v", index=IndexSpec(kind, clusters=2 if kind == "ivf" else None, probes=2))

@@ -41,8 +41,17 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
-def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+def max_magnitude(a: Column) -> Column:
+    return F.array_max(F.transform(a, lambda x: F.abs(x)))
+
+
+def added(a: Column, b: Column) -> Column:
+    """Element by element; an error where the lengths differ."""
+    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: x + y)).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("array<double>"))
+
+
+def divided(a: Column, by: float) -> Column:
+    return F.transform(a, lambda x: x / F.lit(float(by)))
 
 
 def _known(value: Column, otherwise: float) -> Column:

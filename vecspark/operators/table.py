@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -183,6 +184,18 @@ class VectorTable:
     def search_batch(self, queries: DataFrame, query_key: str, query_vector: str, k: int, field: str | None = None) -> DataFrame:
         return search.batch_topk(self.rows, self.spec.key, self.spec.vector(field), queries, query_key, query_vector, k)
 
+    def submit(self, method: str, *args, **kwargs) -> Future:
+        """A method of the table in a thread of its own, such as add_range or search; a search's frame is collected there.
+        Spark runs the jobs of several threads side by side; changes are to be waited for before the next."""
+
+        def run():
+            out = getattr(self, method)(*args, **kwargs)
+            return out.collect() if isinstance(out, DataFrame) else out
+
+        if not hasattr(self, "_pool"):
+            self._pool = ThreadPoolExecutor(4, thread_name_prefix=self.spec.name)
+        return self._pool.submit(run)
+
     def index(self, field: str) -> IvfIndex | HnswIndex:
         """Built when it is first asked for after a change."""
         if field not in self._indexes:

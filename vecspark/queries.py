@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.metrics import custom, dot, doubles, total
+from .functions.metrics import added, custom, distance, divided, dot, doubles, literal, max_magnitude, norm, total
 from .functions.prepare import half, normalised, searchable
 from .operators import dml, search
 from .operators.hnsw import HnswIndex
@@ -163,6 +163,14 @@ def normalize_vectors(spark, sf_dir):
     return rows.select("vec_id", F.round(v[0], 6).alias("first_element"), F.round(total(v), 6).alias("total"), F.round(dot(v, v), 6).alias("squares"))
 
 
+@_query(f"WITH b AS (SELECT vec_id, {SCALED[1]} AS v FROM embeddings), q AS (SELECT v AS q FROM b WHERE vec_id = 0) SELECT vec_id, round(list_sum(v), 6) AS total, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(list_distance(v, q), 6) AS distance, round(list_max(list_transform(v, lambda x: abs(x))), 6) AS largest, round((v[1] + q[1]) / 4, 6) AS quarter FROM b, q")
+def vector_math(spark, sf_dir):
+    rows, v = base(spark, sf_dir, SCALED[0]), F.col("v")
+    q = literal(query_vector(rows))
+    shown_ = {"total": total(v), "norm": norm(v), "distance": distance(v, q), "largest": max_magnitude(v), "quarter": divided(added(v, q), 4)[0]}
+    return rows.select("vec_id", *[F.round(c, 6).alias(n) for n, c in shown_.items()])
+
+
 _SQ8 = "list_transform(list_transform({v}, lambda x: CASE WHEN x < 0 THEN -1 ELSE 1 END * least(127, floor(abs(x / ({s})) + 0.5))), lambda c: c * ({s}))"
 
 
