@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 
 with contextlib.suppress(AttributeError, OSError):
-    # a reused worker gives large arrays back to the system: they are mapped one by one (M_MMAP_THRESHOLD, bytes)
-    ctypes.CDLL(None).mallopt(-3, 4 << 20)
+    # a reused worker gives large arrays back to the system: they are mapped one by one, and 64 MB
+    # of what is free is kept (M_MMAP_THRESHOLD, M_TRIM_THRESHOLD)
+    ctypes.CDLL(None).mallopt(-3, 16 << 20)
+    ctypes.CDLL(None).mallopt(-1, 64 << 20)
 
 U64 = np.uint64
 #: The bytes that part words where an operator's words are [^\x20\x09-\x0D]+.
@@ -19,7 +21,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes that are worked on at once; a longer text is a batch of its own.
 BATCH_BYTES = 2 << 20
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
 _TABLE = np.random.default_rng(20_240_501).integers(1, 2**63, (2, 256), dtype=np.uint64) * U64(2) + U64(1)
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
