@@ -32,8 +32,8 @@ GROWTH = 3
 _NONE = np.iinfo(np.int64).max
 
 
-def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _open(data: bytes) -> bytes:
@@ -85,7 +85,7 @@ class _Chunk:
 
     def message(self, bucket: int) -> bytes:
         strings, docs = zip(*self.sent[bucket], strict=True)
-        return _squeeze(len(docs).to_bytes(8, "little") + np.array(docs, "<i8").tobytes() + b"\n".join(strings))
+        return _squeeze(len(docs).to_bytes(8, "little") + np.array(docs, "<i8").tobytes() + b"\n".join(strings), level=5)
 
     def removed(self, answers: dict[int, np.ndarray]) -> np.ndarray:
         """Which words go; answers: rows (entry, window, smallest doc_id) of each bucket."""
