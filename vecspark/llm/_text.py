@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 
 with contextlib.suppress(AttributeError, OSError):
-    # a reused worker gives large arrays back to the system: they are mapped one by one, and 64 MB
+    # a reused worker gives large arrays back to the system: they are mapped one by one, and 16 MB
     # of what is free is kept (M_MMAP_THRESHOLD, M_TRIM_THRESHOLD)
-    ctypes.CDLL(None).mallopt(-3, 16 << 20)
-    ctypes.CDLL(None).mallopt(-1, 64 << 20)
+    ctypes.CDLL(None).mallopt(-3, 8 << 20)
+    ctypes.CDLL(None).mallopt(-1, 16 << 20)
 
 U64 = np.uint64
 #: The bytes that part words where an operator's words are [^\x20\x09-\x0D]+.

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words whose ids a worker keeps; it encodes later ones each time.
-KEPT_WORDS = 450_000
+KEPT_WORDS = 350_000
 #: A text with these is encoded as a whole: characters that Python and the library may not both count as white space.
 _ODD = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]")
 _AHEAD = re.compile(r"(?= \S)")
