@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..plans.session import stored
 from ._text import as_bytes, pick, pieces
 from .components import components
+from .jaccard import keep_first  # noqa: F401
 
 SHINGLE, BITS, MATCHES = 3, 3, 5
 #: Any 5 of the 8 positions hold one of these: 8 is the Turan number T(8, 5, 3). Each half's 4 triples settle 3 or more
@@ -205,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
     return own.join(joined.join(smallest, "root").select("fps", "component_id"), "fps").select("doc_id", "fps", "component_id")
 
 
-#: keep_first() compares SEEDS fingerprints of a text as one of 384 bits: texts whose 5-word shingles have a Jaccard
+#: SEEDS give fingerprints of a text that count as one of 384 bits: texts whose 5-word shingles have a Jaccard
 #: similarity of 0.8 differ in 15 % of the bits, about, unrelated ones in half. WIDE_BITS is 17 %.
 SEEDS, WIDE_BITS, WIDE_MATCHES = (42, 1, 2, 3, 4, 5), 66, 5
 #: Entries of a block of a long list, and blocks whose first entries stand in all others.
@@ -277,11 +278,3 @@ def wide_links(groups: DataFrame, words: int, bits: int = WIDE_BITS, matches: in
     whole = cut.select("node", *columns, "key", "block").unionByName(anchors)
     whole = whole.select("node", *columns, F.xxhash64("key", "block").alias("key"))
     return short.unionAll(together(whole, ["key"]))
-
-
-def keep_first(docs: DataFrame, shingle: int = 5, bits: int = WIDE_BITS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """One document of each component of near copies, that of the smallest doc_id, with its own columns; repeated rows
-    stay once. bits: most bits in which the fingerprints of all seeds together differ."""
-    found = near_duplicates(docs, shingle, bits, seeds)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
