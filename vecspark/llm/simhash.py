@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, s
 #: SEEDS give fingerprints of a text that count as one of 384 bits: texts whose 5-word shingles have a Jaccard
 #: similarity of 0.8 differ in 15 % of the bits, about, unrelated ones in half. WIDE_BITS is 17 %.
 SEEDS, WIDE_BITS, WIDE_MATCHES = (42, 1, 2, 3, 4, 5), 66, 5
-#: Entries of a block of a long list, and blocks whose first entries stand in all others.
-BLOCK, ANCHORS = 4096, 32
+#: Entries of a block of a long list.
+BLOCK = 4096
 
 
 def _walk(fps: np.ndarray, bits: int, matches: int) -> np.ndarray:
@@ -257,7 +257,7 @@ def wide_links(groups: DataFrame, words: int, bits: int = WIDE_BITS, matches: in
     positional bytes, matches at least, and are verified by their bits. Unlike links() it can miss pairs: of sf0.1's texts
     with changed words, half of those of a similarity of 0.8 meet in one of 48 lists, three in four at 0.85, 94 % at 0.9
     and all at 0.95; more members of a group make it likelier that some link joins each. A list of over BLOCK entries is cut into blocks by a hash;
-    the first entries of ANCHORS blocks stand in all, so that the parts of a cloud are linked through them.
+    every two blocks meet, so that no pair of a list is left out.
     """
     flat = groups.select("node", *[F.col("fps")[k].alias(f"f{k}") for k in range(words)])
     key = lambda k, t, p: F.xxhash64(F.lit(8 * k + t), *[F.shiftrightunsigned(f"f{k}", 8 * x).bitwiseAND(F.lit(0xFF)) for x in p])
@@ -272,9 +272,9 @@ def wide_links(groups: DataFrame, words: int, bits: int = WIDE_BITS, matches: in
         return together(entries, ["key"])
     short = together(entries.join(sizes.select("key"), "key", "left_anti"), ["key"])
     blocks = F.ceil(F.col("count") / BLOCK).cast("long")
-    cut = entries.join(sizes, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks)})
-    first = cut.groupBy("key", "block").agg(F.first("blocks").alias("blocks"), F.min_by(F.struct("node", *columns), F.col("node")).alias("e")).where(F.col("block") < ANCHORS)
-    anchors = first.select("key", "e.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    whole = cut.select("node", *columns, "key", "block").unionByName(anchors)
-    whole = whole.select("node", *columns, F.xxhash64("key", "block").alias("key"))
+    cut = entries.join(sizes, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key", "node"), blocks)})
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    whole = cut.select("node", *columns, "key", "block", other).where("other <> block")
+    whole = whole.select("node", *columns, F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
+    tasks = max(1, -(-int(sizes.agg(F.sum(F.col("count") * blocks)).first()[0]) // TASK))
     return short.unionAll(together(whole, ["key"]))
