@@ -39,7 +39,7 @@ def texts(rng, n):
     return [(i, " ".join(rng.choice(["alpha", "beta!", "gamma.", "Delta,", "ε"]) for _ in range(rng.choice([0, 1, 5, 40, 400])))) for i in range(n)]
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, monkeypatch):
     rows = texts(random.Random(2), 40) + [(100, None), (7, "again"), (None, "first"), (99, "")]
     path = str(tmp_path / "t")
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string").repartition(5)
@@ -56,11 +56,31 @@ def test_files(spark, tmp_path):
     assert [tokens.read_token(spark, path, doc, i) for i in (0, n // 2, n - 1)] == [int(ids[i]) for i in (0, n // 2, n - 1)]
     with pytest.raises(KeyError):
         tokens.read_token(spark, path, 55_555, 0)
+    monkeypatch.setattr(tokens, "FEW_PARTS", 0)
+    monkeypatch.setattr(tokens, "_GROUP", 2)
+    assert sorted((tuple(r) for r in tokens.read_documents(spark, path).collect()), key=lambda r: r[1]) == expected
     empty = str(tmp_path / "e")
     tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), empty, WORD)
     assert tokens.read_documents(spark, empty).count() == 0
 
 
+def test_shards_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tokens.write_tokens(spark.createDataFrame(texts(random.Random(3), 30), "doc_id long, text string"), path, WORD, shard_ids=300)
+    plan = tokens.read_documents(spark, path)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("MapInArrow")[1]  # what feeds the decoding comes first beneath it
+    assert "BroadcastHashJoin" in plan and "Exchange" not in above.split("FileScan")[0]
+    assert all("levels" not in line for line in plan.split("\n") if "Exchange" in line)
+
+
+def test_a_very_long_text_is_encoded_whole(spark, tmp_path):
+    text, path = "alpha beta, " * 100_000 + "x" * 50_000, str(tmp_path / "t")
+    tokens.write_tokens(spark.createDataFrame([(2, text), (1, "a")], "doc_id long, text string"), path, WORD)
+    ids = WordTokenizer(WORD).tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    got = {r["doc_id"]: tuple(r)[1:] for r in tokens.read_documents(spark, path).collect()}
+    assert got[2] == (got[1][1], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 @settings(deadline=None, max_examples=100)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_bounds_hold(lengths):

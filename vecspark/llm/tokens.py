@@ -5,9 +5,10 @@ beside it tells which of them go on in the next level, and a rank directory give
 block of the bitmap. Token i is read from byte i of the first level; where its bit is set, the rank of that bit is its
 place in the next level. Nothing else is decoded.
 
-A file row is a shard: the ids of consecutive documents, their doc_ids and lengths, and the levels. Shards are written
-by Spark as Parquet in ascending order of doc_id, so that the commit protocol covers lost executors and any store that
-Spark writes to can hold them; statistics on first_doc let a reader skip files.
+A file row is a shard: the ids of consecutive documents, their doc_ids and lengths, the levels, and the number of ids
+that its writing task put before it. Shards are written by Spark as Parquet in ascending order of doc_id, so that the
+commit protocol covers lost executors and any store that Spark writes to can hold them; statistics on first_doc let a
+reader skip files. A reader adds the ids of earlier tasks to what it has decoded, so that shards are never shuffled.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ CHUNKS = (8, 8, 16)
 #: Bits of a bitmap for each entry of its rank directory.
 RANK_BITS = 512
 #: Ids of a shard, a document more at most.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 18
 #: Bytes of input of a writing task, by Spark's own estimate, at most; and an estimate that is none.
 PART_BYTES, _UNKNOWN = 64 << 20, 1 << 60
-SHARD_SCHEMA = "part int, seq int, first_doc long, last_doc long, n_docs long, n_ids long, doc_ids binary, lengths binary, levels array<binary>, more array<binary>, ranks array<binary>"
+#: Writing tasks whose starts are sent to all executors, at 16 bytes each; those of more are joined by a shuffle. And
+#: tasks whose sizes are summed up together.
+FEW_PARTS, _GROUP = 200_000, 1000
+SHARD_SCHEMA = "part int, seq int, before long, first_doc long, last_doc long, n_docs long, n_ids long, doc_ids binary, lengths binary, levels array<binary>, more array<binary>, ranks array<binary>"
 _TYPES = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
@@ -104,18 +108,18 @@ def _shards(path: str, end_id: int | None, shard_ids: int):
         docs: list[int | None] = []
         lengths: list[int] = []
         held: list[bytes] = []
-        have = 0
+        have, before = 0, 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal docs, lengths, held, have, seq
+            nonlocal docs, lengths, held, have, seq, before
             code = Dac.encode(np.frombuffer(b"".join(held), "<u4"))
             known = [d for d in docs if d is not None]
             row = {
-                "part": part, "seq": seq, "first_doc": known[0] if known else None, "last_doc": known[-1] if known else None, "n_docs": len(docs), "n_ids": have,
+                "part": part, "seq": seq, "before": before, "first_doc": known[0] if known else None, "last_doc": known[-1] if known else None, "n_docs": len(docs), "n_ids": have,
                 "doc_ids": np.array([d is None for d in docs], np.uint8).tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes(),
                 "lengths": np.array(lengths, "<u8").tobytes(), "levels": code.levels, "more": code.more, "ranks": code.ranks,
             }
-            docs, lengths, held, have, seq = [], [], [], 0, seq + 1
+            docs, lengths, held, have, seq, before = [], [], [], 0, seq + 1, before + have
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
         for batch in pieces(batches):
@@ -133,7 +137,7 @@ def _shards(path: str, end_id: int | None, shard_ids: int):
     return run
 
 
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), *((n, pa.int64()) for n in ("first_doc", "last_doc", "n_docs", "n_ids")), ("doc_ids", pa.binary()), ("lengths", pa.binary()), *((n, pa.list_(pa.binary())) for n in ("levels", "more", "ranks"))])
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), *((n, pa.int64()) for n in ("before", "first_doc", "last_doc", "n_docs", "n_ids")), ("doc_ids", pa.binary()), ("lengths", pa.binary()), *((n, pa.list_(pa.binary())) for n in ("levels", "more", "ranks"))])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, shard_ids: int = SHARD_IDS) -> None:
@@ -157,14 +161,14 @@ def open_shard(row) -> tuple[list[int | None], np.ndarray, Dac]:
     return docs, np.frombuffer(row["lengths"], "<u8"), Dac(int(row["n_ids"]), list(row["levels"]), list(row["more"]), list(row["ranks"]))
 
 
-def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """part, seq and start, the number of ids in earlier shards. Only the counts are read; one row for each writing
-    task is summed up in one place, all else within its part."""
-    counts = spark.read.parquet(path).select("part", "seq", "n_ids")
-    parts = counts.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
-    before = parts.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
-    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    return counts.withColumn("within", within).join(before, "part").select("part", "seq", (F.col("before") + F.col("within")).alias("start"))
+def part_starts(spark: SparkSession, path: str) -> DataFrame:
+    """part and part_start, the number of ids that earlier writing tasks have written. Only the counts are read; they are
+    summed up within groups of parts, and the groups' sums in one place."""
+    parts = spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("g", F.floor(F.col("part") / _GROUP))
+    groups = parts.groupBy("g").agg(F.sum("n").alias("in_group"))
+    groups = groups.select("g", (F.sum("in_group").over(Window.orderBy("g")) - F.col("in_group")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")
+    return parts.withColumn("within", within).join(groups, "g").select("part", (F.col("before") + F.col("within")).alias("part_start"))
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +179,17 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, ends = code.decode(), np.cumsum(lengths).astype(np.int64)
             starts, view = ends - lengths.astype(np.int64), memoryview(ids).cast("B")
             crc = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + row["start"], pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            part = pa.array(np.full(len(docs), row["part"], np.int32))
+            yield pa.RecordBatch.from_arrays([part, pa.array(docs, pa.int64()), pa.array(starts + row["before"], pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "doc_id", "in_part", "n_tokens", "ids_crc32"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files in path."""
-    shards = spark.read.parquet(path).join(shard_starts(spark, path), ["part", "seq"])
-    return shards.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = spark.read.parquet(path).select("part", "before", "n_docs", "n_ids", "doc_ids", "lengths", "levels", "more", "ranks")
+    found = shards.mapInArrow(_documents, "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long")
+    starts = part_starts(spark, path)
+    starts = F.broadcast(starts) if spark.read.parquet(path).select("part").distinct().count() <= FEW_PARTS else starts
+    return found.join(starts, "part").select("doc_id", (F.col("part_start") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_token(spark: SparkSession, path: str, doc_id: int, i: int) -> int:
