@@ -4,13 +4,13 @@ import os
 import random
 
 import pytest
-from test_texts import brute_components, brute_hits, brute_lines, brute_quality, words_of
+from test_jaccard import brute as brute_near
+from test_texts import brute_hits, brute_lines, brute_quality, words_of
 from test_tokens import check_packed
 
 import corpus_pipeline
 from vecspark.llm import quality
 from vecspark.llm.queries import QUERIES
-from vecspark.llm.simhash import SEEDS, WIDE_BITS
 
 SF = "/root/testdata/sf0.001"
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -18,8 +18,6 @@ FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def brute(docs, items):
     """doc_id to text after the four stages that filter."""
-    import xxhash
-
     kept = []
     for d, t in docs:
         (n, chars, symbols, repeats, inside), shares = brute_quality(t)
@@ -29,15 +27,7 @@ def brute(docs, items):
         if not bad and all(s <= m for s, m in zip(shares, quality.REPEATED.values(), strict=True)):
             kept.append((d, t))
     kept = [(d, t) for d, t, _, gone, _ in brute_lines(kept) if not gone or words_of(t)]
-    prints = {}
-    for d, t in kept:
-        w = words_of(t.lower())
-        prints[d] = []
-        for seed in SEEDS:
-            values = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), seed) for i in range(max(1, len(w) - 4))] if w else []
-            prints[d].append(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values)))
-    near = [(a, b) for a in prints for b in prints if b < a and sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= WIDE_BITS]
-    part = brute_components(near, prints)
+    part = brute_near(kept)
     kept = [(d, t) for d, t in kept if part[d] == d]
     hits = brute_hits(items, [t for _, t in kept])
     return {d: t for (d, t), h in zip(kept, hits, strict=True) if not h[-1]}
@@ -72,6 +62,27 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     check_packed(sorted(got.items()), packed, 2048)
 
 
+def test_stages_take_clashing_names_nulls_and_repeated_rows(spark, tmp_path):
+    """Columns that are named like an operator's own, null and shared doc_ids, repeated rows and a very long text."""
+    prose = lambda k, n=80: " ".join(f"{k}word{i}" for i in range(n))
+    odd = ["_n_removed", "_n_lines", "_n_near", "DOC_ID", "node", "chunk", "_hit", "_items", "_n_words", "kept", "n_words"]
+    docs = [(1, prose("a")), (1, prose("a")), (2, prose("b")), (2, prose("c")), (None, prose("d")), (None, None), (3, None), (4, ""), (5, prose("e", 40_000)), (6, prose("a"))]
+    schema = FIELDS + "".join(f", `{n}` string" for n in odd)
+    rows = [(d, t, "en", "s", len(t or ""), *odd) for d, t in docs]
+    spark.createDataFrame([(None, prose("z")), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stored = stage(spark, now, str(tmp_path))
+        assert stored.columns == now.columns, name
+        now = spark.createDataFrame(stored.collect(), schema)
+    left = sorted(((r["doc_id"], r["text"]) for r in (dict(zip(FIELDS_, tuple(x), strict=False)) for x in now.collect())), key=str)
+    assert left == sorted([(1, prose("a")), (2, prose("b")), (2, prose("c")), (None, prose("d")), (5, prose("e", 40_000))], key=str)
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()} == {1, 2, 5, None}
+
+
+FIELDS_ = [f.split()[0] for f in FIELDS.split(", ")]
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     spark.createDataFrame([], FIELDS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -257,7 +257,7 @@ def brute_fingerprint(t):
 @settings(deadline=None, max_examples=60)
 @given(TEXT)
 def test_fingerprints(text):
-    assert simhash.fingerprint(text.encode()) == [brute_fingerprint(text)]
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
 
 
 def brute_components(pairs, nodes):
@@ -306,36 +306,6 @@ def test_long_lists_are_probed():
     assert least.tolist() == list(brute_components(near, range(len(fps))).values())
 
 
-@pytest.mark.parametrize("block", [4096, 40])
-def test_wide_links_find_near_copies(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
-    rng = random.Random(7)
-    rows, base = [], []
-    for _ in range(30):
-        w = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
-        base.append(len(rows))
-        rows.append(w)
-        for _ in range(rng.choice([1, 1, 2, 60 if len(rows) < 100 else 3])):
-            v = list(w)
-            for _ in range(rng.randint(1, 4)):
-                v[rng.randrange(300)] = "changed"
-            rows.append(v)
-    docs = frame(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, simhash.WIDE_BITS, simhash.SEEDS).collect()}
-    owner = {i: max(b for b in base if b <= i) for i in range(len(rows))}
-    assert all(owner[c] == owner[i] for i, c in got.items())  # nothing else is linked
-    assert sum(c == owner[i] for i, c in got.items()) >= 0.97 * len(rows)
-
-
-def test_walk():
-    rng = np.random.default_rng(3)
-    fps = rng.integers(0, 2**63, (60, 2)).astype(np.uint64)
-    fps[20:40] = fps[:20] ^ np.uint64(5)
-    fps[40:50] = fps[20:30] ^ np.uint64(48)
-    near = [(i, j) for i in range(60) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= 4]
-    assert simhash._walk(fps, 4, 5).tolist() == list(brute_components(near, range(60)).values())
-
-
 def test_near_duplicates(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randint(0, 30)) for _ in range(200)) for _ in range(6)]
@@ -343,7 +313,7 @@ def test_near_duplicates(spark):
     rows += [(40, None), (41, ""), (42, " "), (50, "a"), (51, "a"), (50, "a"), (None, "a"), (None, "quite another text")]
     got = {}
     for r in simhash.near_duplicates(frame(spark, rows)).collect():
-        got.setdefault(r["doc_id"], set()).add((r["fps"][0] % (1 << 64), r["component_id"]))
+        got.setdefault(r["doc_id"], set()).add((r["fp"] % (1 << 64), r["component_id"]))
     texts = {}
     for d, t in rows:
         texts.setdefault(d, set()).add(brute_fingerprint(t))
@@ -356,6 +326,15 @@ def test_near_duplicates(spark):
         p = part[brute_fingerprint(t)]
         least[p] = min([x for x in (d, least.get(p)) if x is not None], default=None)
     assert all(c == least[part[f]] for x in got.values() for f, c in x)
-    kept = simhash.keep_first(frame(spark, rows)).collect()
-    assert len({r["doc_id"] for r in kept}) == len(kept) and {r["doc_id"] for r in kept} >= {0, 1, 2, 3, 4, 5, 40, 50}
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_near_duplicates_of_a_hot_fingerprint(spark, monkeypatch):
+    rows = [(i, "the same text") for i in range(40)] + [(i, f"text number {i} of them") for i in range(40, 60)] + [(60, None)]
+    want = sorted(map(tuple, simhash.near_duplicates(frame(spark, rows)).collect()))
+    monkeypatch.setattr(simhash, "HOT_ROWS", 10)
+    wide = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], "doc_id long, text string, fp int, component_id int, DOC_ID string")
+    assert sorted(map(tuple, simhash.near_duplicates(wide).collect())) == want and len(want) == 61
+    long_text = "alpha beta gamma delta " * 50_000
+    got = simhash.near_duplicates(frame(spark, [(1, long_text), (2, long_text + "epsilon")])).collect()
+    assert {r["fp"] % (1 << 64) for r in got} <= {brute_fingerprint(long_text), brute_fingerprint(long_text + "epsilon")}

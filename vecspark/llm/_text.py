@@ -162,10 +162,3 @@ def appended(docs, text: str, run, fields: dict[str, str]):
             yield pa.RecordBatch.from_arrays([*batch.columns, *run(as_bytes(batch.column(at)), batch)], names=[f.name for f in schema])
 
     return inner.mapInArrow(each, schema).toDF(*names, *fields)
-
-
-def unused(prefix: str, names: list[str]) -> str:
-    """prefix, with more underscores as long as a name starts with it."""
-    while any(n.lower().startswith(prefix.lower()) for n in names):
-        prefix = f"_{prefix}"
-    return prefix

@@ -118,6 +118,12 @@ def load(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Gives the memory of kept words back, before a worker goes on to work of another kind."""
+    for own in _loaded.values():
+        own.ids.clear(), own.after.clear()
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers

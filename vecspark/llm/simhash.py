@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from ..plans.session import stored
 from ._text import as_bytes, pick, pieces
 from .components import components
-from .jaccard import keep_first  # noqa: F401
 
 SHINGLE, BITS, MATCHES = 3, 3, 5
 #: Any 5 of the 8 positions hold one of these: 8 is the Turan number T(8, 5, 3). Each half's 4 triples settle 3 or more
@@ -38,43 +37,38 @@ LIST = 512
 #: List entries of a task, about.
 TASK = 100_000
 _BLOCK = 1 << 16
-
-
 SEED = 42
+#: Rows of a fingerprint from which on they aren't shuffled: of N rows N / HOT_ROWS fingerprints at most have so many.
+HOT_ROWS = 100_000
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
-    """For each seed the fingerprint: a bit is set if it is in over half of the XXH64 of the text's shingles, repeats
-    included. A-Z are lower-cased; words are [^\\x20\\x09-\\x0D]+; fewer words than a shingle are one; without words it
-    is 0."""
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """A bit is set if it is in over half of the XXH64 of the text's shingles, repeats included. A-Z are lower-cased;
+    words are [^\\x20\\x09-\\x0D]+; fewer words than a shingle are one; without words it is 0."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return [0] * len(seeds)
-    joined, n, digest, out = b" ".join(words), max(1, len(words) - shingle + 1), xxhash.xxh64_digest, []
+        return 0
+    joined, n, digest = b" ".join(words), max(1, len(words) - shingle + 1), xxhash.xxh64_digest
     ends = np.concatenate([np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20), [len(joined)]])
     starts = np.concatenate([[0], ends[:-1] + 1])[:n]
-    ends, counts = ends[-n:], np.zeros((len(seeds), 64), np.int64)
+    ends, counts = ends[-n:], np.zeros(64, np.int64)
     for k in range(0, n, _BLOCK):
-        shingles = [joined[s:e] for s, e in zip(starts[k : k + _BLOCK].tolist(), ends[k : k + _BLOCK].tolist(), strict=True)]
-        for own, seed in zip(counts, seeds, strict=True):
-            raw = b"".join([digest(x, seed) for x in shingles])
-            own += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    for own in counts:
-        out.append(int.from_bytes(np.packbits(2 * own > n).tobytes(), "big"))
-    return out
+        raw = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[k : k + _BLOCK].tolist(), ends[k : k + _BLOCK].tolist(), strict=True)])
+        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """doc_id and fps, a fingerprint as a signed long for each seed, of each row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            fps = np.array([fingerprint(t, shingle, seeds) for t in as_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["doc_id", "fps"])
+            fps = np.array([fingerprint(t, shingle) for t in as_bytes(batch.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fps array<long>")
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
 
 
 def _near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -189,92 +183,25 @@ def links(groups: DataFrame, bits: int = BITS) -> DataFrame:
     return short.unionAll(_link(again, 10 * len(TRIPLES) * n, bits))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """doc_id, fps and component_id, the smallest doc_id reachable, of each row of docs (doc_id, text). Documents are
-    linked where their fingerprints differ in bits at most: all such pairs with one seed, and with more, whose
-    fingerprints count as one, those that wide_links() finds.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id reachable, of each row of docs (doc_id, text). Documents are
+    linked where their fingerprints differ in bits at most: all such pairs.
 
     A null text is an empty one. Rows that share a doc_id are one node each by their text; a null doc_id is no one's
     smallest, and gets null unless it reaches another.
     """
-    own = stored(fingerprints(docs, shingle, seeds), "fingerprints")
-    groups = own.groupBy("fps").agg(F.min("doc_id").alias("least"))
+    own = stored(fingerprints(docs, shingle), "fingerprints")
+    groups = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     groups = stored(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
-    found = links(groups.select("node", F.col("fps")[0].alias("fp")), bits) if len(seeds) == 1 else wide_links(groups.select("node", "fps"), len(seeds), bits)
-    joined = groups.join(components(found), "node", "left").select("fps", "least", F.coalesce("component", "node").alias("root"))
+    found = components(links(groups.select("node", "fp"), bits))
+    joined = groups.join(found, "node", "left").select("fp", "least", "rows", F.coalesce("component", "node").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(joined.join(smallest, "root").select("fps", "component_id"), "fps").select("doc_id", "fps", "component_id")
-
-
-#: SEEDS give fingerprints of a text that count as one of 384 bits: texts whose 5-word shingles have a Jaccard
-#: similarity of 0.8 differ in 15 % of the bits, about, unrelated ones in half. WIDE_BITS is 17 %.
-SEEDS, WIDE_BITS, WIDE_MATCHES = (42, 1, 2, 3, 4, 5), 66, 5
-#: Entries of a block of a long list.
-BLOCK = 4096
-
-
-def _walk(fps: np.ndarray, bits: int, matches: int) -> np.ndarray:
-    """Least reachable index of each of some fingerprints (rows of words). Each is compared once, with those that
-    nothing has reached yet, so that a cloud of near ones costs one comparison each."""
-    least, left = np.full(len(fps), -1), np.arange(len(fps))
-    while len(left):
-        root, todo = int(left[0]), [int(left[0])]
-        least[root], left = root, left[1:]
-        while todo and len(left):
-            other = fps[left] ^ fps[todo.pop()]
-            on = np.bitwise_count(other).sum(axis=1) <= bits
-            on[on] = (other[on].view(np.uint8) == 0).sum(axis=1) >= matches
-            least[left[on]] = root
-            todo += left[on].tolist()
-            left = left[~on]
-    return least
-
-
-def _wide_task(words: int, bits: int, matches: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("node", "ascending")])
-        keys, nodes = table["key"].to_numpy(), table["node"].to_numpy()
-        fps = np.stack([table[f"f{i}"].to_numpy().view(np.uint64) for i in range(words)], axis=1)
-        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        a, b = [], []
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                least = lo + _walk(fps[lo:hi], bits, matches)
-                on = least != np.arange(lo, hi)
-                a.append(nodes[lo:hi][on])
-                b.append(nodes[least[on]])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return run
-
-
-def wide_links(groups: DataFrame, words: int, bits: int = WIDE_BITS, matches: int = WIDE_MATCHES) -> DataFrame:
-    """Links (a, b) of nodes whose fingerprints, several words as one, differ in bits at most; groups: node and fps.
-
-    Candidates share the triple of positional bytes of some list, as in links(), of any word; they tally their shared
-    positional bytes, matches at least, and are verified by their bits. Unlike links() it can miss pairs: of sf0.1's texts
-    with changed words, half of those of a similarity of 0.8 meet in one of 48 lists, three in four at 0.85, 94 % at 0.9
-    and all at 0.95; more members of a group make it likelier that some link joins each. A list of over BLOCK entries is cut into blocks by a hash;
-    every two blocks meet, so that no pair of a list is left out.
-    """
-    flat = groups.select("node", *[F.col("fps")[k].alias(f"f{k}") for k in range(words)])
-    key = lambda k, t, p: F.xxhash64(F.lit(8 * k + t), *[F.shiftrightunsigned(f"f{k}", 8 * x).bitwiseAND(F.lit(0xFF)) for x in p])
-    columns = [f"f{k}" for k in range(words)]
-    entries = flat.select("node", *columns, F.explode(F.array(*[key(k, t, p) for k in range(words) for t, p in enumerate(TRIPLES)])).alias("key"))
-    sizes = stored(entries.groupBy("key").count().where(F.col("count") > BLOCK), "long-lists")
-    n = groups.count() * words * len(TRIPLES)
-    tasks = max(1, -(-n // TASK))
-    run = _wide_task(words, bits, matches)
-    together = lambda df, by: df.withColumn("task", F.pmod(F.xxhash64(*by), F.lit(tasks))).drop(*[c for c in by if c != "key"]).groupBy("task").applyInArrow(run, "a long, b long")
-    if sizes.isEmpty():
-        return together(entries, ["key"])
-    short = together(entries.join(sizes.select("key"), "key", "left_anti"), ["key"])
-    blocks = F.ceil(F.col("count") / BLOCK).cast("long")
-    cut = entries.join(sizes, "key").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key", "node"), blocks)})
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    whole = cut.select("node", *columns, "key", "block", other).where("other <> block")
-    whole = whole.select("node", *columns, F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
-    tasks = max(1, -(-int(sizes.agg(F.sum(F.col("count") * blocks)).first()[0]) // TASK))
-    return short.unionAll(together(whole, ["key"]))
+    known = joined.join(smallest, "root").select("fp", "component_id", "rows")
+    # rows of a fingerprint that very many documents share stay where they are; there are few such fingerprints
+    hot, cold = known.where(F.col("rows") > HOT_ROWS).drop("rows"), known.where(F.col("rows") <= HOT_ROWS).drop("rows")
+    if groups.where(F.col("rows") > HOT_ROWS).isEmpty():
+        out = own.join(cold, "fp")
+    else:
+        hot = F.broadcast(hot)
+        out = own.join(hot, "fp").unionByName(own.join(hot, "fp", "left_anti").join(cold, "fp"))
+    return out.select("doc_id", "fp", "component_id")
