@@ -12,10 +12,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Rows and bytes of the batches that Spark hands to Python workers: whole texts travel in them, and a task holds two on
+#: either side. A setting of the session's own stays.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this host import the package; on a cluster it is shipped with --py-files."""
+    """Lets Python workers on this host import the package; on a cluster it is shipped with --py-files. Where the session
+    has Spark's own sizes of Arrow batches, smaller ones are set."""
+    for name, (default, smaller) in _BATCHES.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, smaller)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
