@@ -21,7 +21,7 @@ def ready(spark: SparkSession) -> SparkSession:
     """Lets Python workers on this host import the package; on a cluster it is shipped with --py-files. Where the session
     has Spark's own sizes of Arrow batches, smaller ones are set."""
     for name, (default, smaller) in _BATCHES.items():
-        if spark.conf.get(name, None) == default:
+        if spark.conf.get(name) == default:
             spark.conf.set(name, smaller)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
