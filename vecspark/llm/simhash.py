@@ -35,7 +35,7 @@ TRIPLES = tuple(combinations(range(4), 3)) + tuple(combinations(range(4, 8), 3))
 #: Fingerprints of a list that is searched by pairs.
 LIST = 512
 #: List entries of a task, about.
-TASK = 100_000
+TASK = 25_000
 _BLOCK = 1 << 16
 SEED = 42
 #: Rows of a fingerprint from which on they aren't shuffled: of N rows N / HOT_ROWS fingerprints at most have so many.
