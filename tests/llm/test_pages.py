@@ -52,11 +52,57 @@ def brute_rank(text):
 
 def test_grams_are_those_of_padded_words():
     for text in ("Ab, ab é!", "a", "a b", "x1y"):
-        gram, count = langid.grams(langid.letters(text.encode()), langid._WIDE)
+        gram, count = langid.grams(langid.letters(text.encode()))
         spell = lambda g: "".join(" " if p == 1 else chr(p) for k in (2, 1, 0) if (p := g >> (21 * k) & (1 << 21) - 1))
         assert {spell(int(g)): int(c) for g, c in zip(gram, count, strict=True)} == brute_rank(text)
 
 
+def code(gram):
+    out = 0
+    for c in gram:
+        out = out << 21 | (1 if c == " " else ord(c))
+    return out
+
+
+def brute_order(count, most):
+    return sorted(count, key=lambda g: (-count[g], code(g)))[:most]
+
+
+def brute_language(text, profiles, most):
+    count = brute_rank(text or "")
+    own = brute_order(count, most)
+    if not own or not profiles:
+        return "und", 0.0
+    far = {lang: sum(abs(p.index(g) - i) if g in p else most for i, g in enumerate(own)) for lang, p in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (most * len(own))
+
+
+def test_prediction_equals_brute_force(spark):
+    """Many letters, Han, Kana and Hangul among them, equally near languages, and long, short and empty texts."""
+    rng = random.Random(4)
+    alphabets = {"han1": range(0x4E00, 0x5200), "han2": range(0x6000, 0x6400), "hangul": range(0xAC00, 0xB000), "kana": range(0x3041, 0x3090), "latin": range(0x61, 0x7B), "same": range(0x61, 0x7B)}
+    make = lambda lang, n: " ".join("".join(chr(rng.choice(alphabets[lang])) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    rows = [(i, make(lang, rng.choice([1, 3, 20, 200])), lang) for i, lang in enumerate(list(alphabets) * 12)]
+    rows = [(d, rows[d - 1][1] if lang == "same" else t, lang) for d, t, lang in rows]  # the same texts as the one before
+    rows += [(500, None, "kana"), (501, " 1 ", "latin"), (502, "Ａｂ é ß", None), (503, "a b " * 50_000, None)]
+    docs = frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {lang: {} for lang in alphabets}
+    for d, t, lang in rows:
+        if lang and t and zlib.crc32(str(d).encode()) % 4 != 2:
+            for g, n in brute_rank(t).items():
+                learned[lang][g] = learned[lang].get(g, 0) + n
+    for most in (300, 2000):
+        profiles = {lang: brute_order(c, most) for lang, c in learned.items() if c}
+        own = langid.learn(frame.where(~langid.held_out()), most=most)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, own).collect()}
+        assert len({g for lang in ("han1", "han2", "hangul") for g in profiles[lang] if len(g) == 1}) > (500 if most == 300 else 1500)
+        for d, t, _ in rows:
+            lang, score = brute_language(t, profiles, most)
+            assert got[d][0] == lang and abs(got[d][1] - score) < 1e-12, d
+    assert got[500] == got[501] == ("und", 0.0)
+
+
 # WARC
 
 PAGE = "<html lang=fr><head><title>A &amp; b</title><style>p{x}</style></head><body><p>Un <b>deux</b>\n trois<br>quatre &lt;5&gt;<!-- no --><script>var a='<p>'</script><a href=x>lien</a></p></body></html>"

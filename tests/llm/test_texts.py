@@ -237,9 +237,36 @@ def test_decontamination_edges(spark):
     docs = spark.createDataFrame([(1, "x One, TWO three!", 3), (2, "one two", 4), (None, None, 5)], "doc_id long, text string, n_hit int")
     assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [2, None]
     assert decontaminate.clean(docs, frame(spark, [], "item_id long, text string")).count() == 3
+    unnamed = frame(spark, [(None, "one two three"), (7, "two three")], "item_id long, text string")
+    assert [(r["n_hit"], r["n_items"]) for r in decontaminate.report(docs, unnamed).collect()] == [(3, 1), (0, 0), (0, 0)]
+    long_text = "five six " * 200_000 + "one two three " + "four " * 100_000
+    assert [(r["n_words"], r["n_hit"]) for r in decontaminate.report(frame(spark, [(1, long_text)]), bench).collect()] == [(500_003, 3)]
     assert decontaminate.report(frame(spark, []), bench).count() == 0
 
 
+def test_large_benchmark_has_compact_tables():
+    """Of arrays alone, and of a size that follows that of the texts."""
+    import pickle
+
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(200)).encode()) for i in range(2000)]
+    size = sum(len(t) for _, t in items)
+    patterns = decontaminate.compile_patterns(items + items[:10])
+    assert len(pickle.dumps(patterns)) < 16 * size
+    _, hits, met = decontaminate.find(patterns, [items[5][1], items[7][1][50:400], b"w1 w2"])
+    assert met == [{5}, {7}, set()] and hits[0].all() and hits[1][1:-1].all() and not hits[2].any()
+
+
+def test_equal_hashes_of_patterns_are_told_apart(monkeypatch):
+    real = decontaminate.word_hashes
+    monkeypatch.setattr(decontaminate, "word_hashes", lambda *a: real(*a) & np.uint64(1))
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.choice([2, 11, 14])))) for i in range(30)]
+    docs = [" ".join(rng.choice("abcd") for _ in range(300)) + " " + items[3][1] for _ in range(5)]
+    found = decontaminate.find(decontaminate.compile_patterns([(i, t.encode()) for i, t in items]), [t.encode() for t in docs])
+    assert [(int(c), int(h.sum()), len(m)) for c, h, m in zip(*found, strict=True)] == [b[:3] for b in brute_hits(items, docs)]
+
+
 # near-duplicates
 
 

@@ -5,20 +5,28 @@ such length m, a shift table gives for each block of two words how far the end o
 documents of a batch, cut into segments, step through it at once. Where the shift is 0, the block's bucket of patterns
 with that suffix is looked up, the hash of the whole window selects the patterns to test, and the words themselves are
 compared.
+
+Patterns are arrays over one buffer of the benchmark's words, under 16 bytes for each byte of the benchmark's text in
+all, so that a block of the benchmark has a bound by its texts' size. A larger benchmark is searched for block by block:
+each has a pass of its own over the documents, whose output is stored, and only one block is compiled, broadcast and
+held by workers at a time.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import stored
 from ._text import U64, Sequences, appended, bounds, mix, pick, word_hashes
 
 WINDOW = 10
-#: Bytes of benchmark texts that are searched for in one pass, and broadcast; a larger benchmark takes more passes.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark texts that are searched for in one pass; a larger benchmark takes more passes.
+BLOCK_BYTES = 16 << 20
 #: End positions of a segment; more segments step at once where it is smaller.
 _SEGMENT = 256
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -52,38 +60,71 @@ class Words:
         return np.concatenate([self.hashes[:1], mix(self.hashes[:-1] * U64(0x9E3779B97F4A7C15) + self.hashes[1:])])
 
 
+@dataclass
 class Patterns:
-    """Shift table and suffix buckets of the patterns of m words."""
-
-    def __init__(self, m: int, words: Words, at: np.ndarray, items: list[list]):
-        """at: where each pattern begins in words, each a different window; items: which items have it."""
-        self.m, self.size, self.items = m, min(2, m), items
-        self.texts = [words.text(i, m) for i in at.tolist()]
-        blocks = words.blocks(self.size)
-        n_bits = max(12, (8 * len(at) * m).bit_length())
-        self.mask = U64((1 << n_bits) - 1)
-        self.shift = np.full(1 << n_bits, m - self.size + 1, np.int64)
-        for q in range(self.size - 1, m):
-            np.minimum.at(self.shift, (blocks[at + q] & self.mask).astype(np.int64), m - 1 - q)
-        suffix, whole = blocks[at + m - 1], words.windows.windows(m)[at]
-        order = np.lexsort((whole, suffix))
-        self.suffixes, self.whole, self.order = np.unique(suffix), whole[order], order
-        self.bucket = np.searchsorted(suffix[order], self.suffixes), np.searchsorted(suffix[order], self.suffixes, "right")
+    """Shift table and suffix buckets of the patterns of m words.
+
+    shift: by the low bits of a block's hash. suffixes: the different hashes of the patterns' last blocks, in order;
+    bucket k has the patterns edge[k] .. edge[k + 1] - 1, in order of whole, the hash of the whole window. low, high:
+    where a pattern's words are in text, joined by a blank. items[own[p]:own[p + 1]]: the items that have pattern p.
+    """
 
-    def search(self, words: Words) -> list[tuple[int, int]]:
-        """(first word, pattern) of each occurrence inside one text."""
-        m = self.m
+    m: int
+    size: int
+    shift: np.ndarray
+    suffixes: np.ndarray
+    edge: np.ndarray
+    whole: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    own: np.ndarray
+    items: np.ndarray
+    text: bytes
+    names: list
+
+    @classmethod
+    def of(cls, m: int, words: Words, at: np.ndarray, item: np.ndarray, text: bytes, low: np.ndarray, high: np.ndarray, names: list) -> Patterns:
+        """at: the first words of all windows, item: whose they are; text, low and high: the words, joined."""
+        size = min(2, m)
+        blocks = words.blocks(size)
+        suffix, whole = blocks[at + m - 1], words.windows.windows(m)[at]
+        order = np.lexsort((item, whole, suffix))
+        at, item, suffix, whole = at[order], item[order], suffix[order], whole[order]
+        # windows of equal words are one pattern; those of equal hashes alone stay apart
+        same = np.zeros(len(at), bool)
+        same[1:] = (suffix[1:] == suffix[:-1]) & (whole[1:] == whole[:-1])
+        start, end, head = low[at], high[at + m - 1], 0
+        for k in range(len(at)) if same.any() else ():
+            if not same[k]:
+                head = k
+            elif text[start[k] : end[k]] != text[start[head] : end[head]]:
+                same[k] = False
+                head = k
+        heads = np.flatnonzero(~same)
+        n_bits = max(12, min(24, (4 * len(np.unique(blocks[at])) * (m - size + 1 if len(heads) < 1000 else 1)).bit_length()))
+        mask = U64((1 << n_bits) - 1)
+        shift = np.full(1 << n_bits, m - size + 1, np.uint8)
+        for q in range(size - 1, m):
+            np.minimum.at(shift, (blocks[at[heads] + q] & mask).astype(np.int64), np.uint8(m - 1 - q))
+        suffix = suffix[heads]
+        edge = np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1], [True]])).astype(np.int32)
+        own = np.concatenate([heads, [len(at)]]).astype(np.int32)
+        return cls(m, size, shift, suffix[edge[:-1]], edge, whole[heads], start[heads], end[heads], own, item.astype(np.int32), text, names)
+
+    def search(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """First word and pattern of each occurrence inside one text."""
+        m, none = self.m, np.empty(0, np.int64)
         lengths = words.last - words.first
         texts = np.flatnonzero(lengths >= m)
         if not len(texts):
-            return []
+            return none, none
         parts = -(-(lengths[texts] - m + 1) // _SEGMENT)
         low = np.repeat(words.first[texts] + m - 1, parts) + _SEGMENT * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
         high = np.minimum(low + _SEGMENT, np.repeat(words.last[texts], parts))
         blocks, stops = words.blocks(self.size), []
-        slots = (blocks & self.mask).astype(np.int64)
+        slots = (blocks & U64(len(self.shift) - 1)).astype(np.int64)
         while len(low):
-            by = self.shift[slots[low]]
+            by = self.shift[slots[low]].astype(np.int64)
             stops.append(low[by == 0])
             low = low + np.maximum(by, 1)
             on = low < high
@@ -92,29 +133,45 @@ class Patterns:
         place = np.minimum(np.searchsorted(self.suffixes, blocks[stop]), len(self.suffixes) - 1)
         hit = self.suffixes[place] == blocks[stop]
         stop, place = stop[hit], place[hit]
-        whole, found = words.windows.windows(m), []
-        # within a bucket the windows' hashes are in order; most stops end here
-        key, known = whole[stop - m + 1], np.sort(self.whole)
-        on = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-        for end, lo, hi, own in zip(stop[on].tolist(), self.bucket[0][place[on]].tolist(), self.bucket[1][place[on]].tolist(), key[on], strict=True):
-            k = lo + int(np.searchsorted(self.whole[lo:hi], own))
-            while k < hi and self.whole[k] == own:
-                pattern = int(self.order[k])
-                if words.text(end - m + 1, m) == self.texts[pattern]:
-                    found.append((end - m + 1, pattern))
+        # within each bucket by the whole window's hash
+        key = words.windows.windows(m)[stop - m + 1] if len(stop) else np.empty(0, U64)
+        lo, hi = self.edge[place].astype(np.int64), self.edge[place + 1].astype(np.int64)
+        last = hi.copy()
+        while (open_ := lo < hi).any():
+            middle = (lo + hi) // 2
+            less = open_ & (self.whole[np.minimum(middle, len(self.whole) - 1)] < key)
+            lo, hi = np.where(less, middle + 1, lo), np.where(open_ & ~less, middle, hi)
+        found: list[tuple[int, int]] = []
+        on = lo < last
+        on[on] = self.whole[lo[on]] == key[on]
+        for end, k, to, own in zip(stop[on].tolist(), lo[on].tolist(), last[on].tolist(), key[on], strict=True):
+            text = words.text(end - m + 1, m)
+            while k < to and self.whole[k] == own:
+                if text == self.text[self.low[k] : self.high[k]]:
+                    found.append((end - m + 1, k))
                 k += 1
-        return found
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def met(self, pattern: int) -> list:
+        return [self.names[i] for i in self.items[self.own[pattern] : self.own[pattern + 1]].tolist()]
 
 
 def compile_patterns(items: list[tuple[object, bytes | None]], window: int = WINDOW) -> list[Patterns]:
     """The patterns of (item_id, text) rows; an item of fewer than window words, but not none, is one pattern."""
-    words = Words([t for _, t in items])
-    by_size: dict[int, dict[bytes, tuple[int, set]]] = {}
-    for (item, _), first, last in zip(items, words.first.tolist(), words.last.tolist(), strict=True):
-        m = min(window, last - first)
-        for i in range(first, last - m + 1) if m else []:
-            by_size.setdefault(m, {}).setdefault(words.text(i, m), (i, set()))[1].add(item)
-    return [Patterns(m, words, np.array([i for i, _ in own.values()]), [list(x) for _, x in own.values()]) for m, own in sorted(by_size.items())]
+    words, names = Words([t for _, t in items]), [i for i, _ in items]
+    lengths = words.ends - words.starts
+    high = np.cumsum(lengths + 1) - 1
+    low = high - lengths
+    text = words.text(0, len(words.starts))
+    count = words.last - words.first
+    out = []
+    for m in sorted({min(window, n) for n in count.tolist()} - {0}):
+        own = np.flatnonzero(np.minimum(count, window) == m)
+        windows = count[own] - m + 1
+        at = np.repeat(words.first[own], windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        out.append(Patterns.of(m, words, at, np.repeat(own, windows), text, low, high, names))
+    return out
 
 
 def find(patterns: list[Patterns], texts: list[bytes | None]) -> tuple[np.ndarray, list[np.ndarray], list[set]]:
@@ -122,12 +179,11 @@ def find(patterns: list[Patterns], texts: list[bytes | None]) -> tuple[np.ndarra
     words = Words(texts)
     delta, met = np.zeros(len(words.starts) + 1, np.int32), [set() for _ in texts]
     for own in patterns:
-        found = own.search(words)
-        starts = np.array([s for s, _ in found], np.int64)
+        starts, found = own.search(words)
         np.add.at(delta, starts, 1)
         np.add.at(delta, starts + own.m, -1)
-        for text, (_, pattern) in zip((np.searchsorted(words.first, starts, "right") - 1).tolist(), found, strict=True):
-            met[text].update(own.items[pattern])
+        for text, pattern in zip((np.searchsorted(words.first, starts, "right") - 1).tolist(), found.tolist(), strict=True):
+            met[text].update(own.met(pattern))
     hit = np.cumsum(delta[:-1]) > 0
     return words.last - words.first, [hit[s:e] for s, e in zip(words.first.tolist(), words.last.tolist(), strict=True)], met
 
@@ -145,22 +201,30 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
     items whose windows occur, as sorted strings. No column of docs may have these names.
 
     benchmark (item_id, text) is searched for in blocks of block_bytes at most, one pass over docs for each; only one
-    block is on the driver and broadcast at a time. A null or empty text has no words; an item without words has no
-    window. Repeated items and documents, and empty tables, are allowed.
+    block is on the driver and broadcast at a time, and what a pass but the last gives is stored. A null or empty text has
+    no words; an item without words has no window; the windows of an item without an id hit words, but it is in no list.
+    Repeated items and documents, and empty tables, are allowed.
     """
     rows, n = _blocks(benchmark, block_bytes)
+    if n > 1:
+        rows = stored(rows, "benchmark")
     out = docs
     for k in range(n):
         own = rows if n == 1 else rows.where(F.col("block") == k)
-        items = [(r["item_id"], r["text"].encode()) for r in own.collect()]
-        out = _pass(out, docs.sparkSession.sparkContext.broadcast(compile_patterns(items, window)), text, first=k == 0)
+        items = [(r["item_id"], r["text"].encode()) for r in own.select("item_id", "text").toLocalIterator()]
+        sent = docs.sparkSession.sparkContext.broadcast(compile_patterns(items, window))
+        del items
+        out = _pass(out, sent, text, first=k == 0)
+        if k + 1 < n:
+            out = stored(out, "decontamination")
+            sent.unpersist()
     return out
 
 
 def _pass(docs: DataFrame, patterns, text: str, first: bool) -> DataFrame:
     def run(texts: list[bytes | None], batch: pa.RecordBatch) -> list[pa.Array]:
         counts, hits, met = find(patterns.value, texts)
-        hits, met = [np.flatnonzero(h) for h in hits], [{str(i) for i in m} for m in met]
+        hits, met = [np.flatnonzero(h) for h in hits], [{str(i) for i in m if i is not None} for m in met]
         if not first:  # what earlier blocks found
             hits = [np.union1d(h, old) for h, old in zip(hits, batch.column(batch.num_columns - 2).to_pylist(), strict=True)]
             met = [m | set(old) for m, old in zip(met, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]

@@ -23,9 +23,8 @@ from ._text import appended, as_bytes, pick, pieces
 RANKS = 300
 #: The bound of the training sample: documents of a language, about, chosen by a hash of doc_id where there are more.
 SAMPLE = 1500
-#: Codes of letters: 1 is the gap between words, 2 and more are those in profiles, the last is any other.
-_GAP, _OTHER, _BITS = 1, 1023, 10
-_WIDE = 21
+#: The gap between words, and the bits of a letter, a code point, in a gram.
+_GAP, _BITS = 1, 21
 
 
 @functools.cache
@@ -47,12 +46,12 @@ def letters(text: bytes | None) -> np.ndarray:
     return own if len(own) > 1 else own[:0]
 
 
-def grams(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of letter codes and their counts, in order of gram. A gap stands at a gram's ends at most. No code is
-    0, so that grams of different lengths differ."""
+def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of letters and their counts, in order of gram, that is of length and then of code points. A gap stands
+    at a gram's ends at most. No letter is 0, so that grams of different lengths differ."""
     gap = codes == _GAP
-    two = codes[:-1] << bits | codes[1:]
-    three = (two[:-1] << bits | codes[2:])[~gap[1:-1]]
+    two = codes[:-1] << _BITS | codes[1:]
+    three = (two[:-1] << _BITS | codes[2:])[~gap[1:-1]]
     every = np.concatenate([codes[~gap], two, three])
     every.sort()
     head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
@@ -64,43 +63,27 @@ class Profiles:
     """langs in order of name; for each gram in any profile its rank in each, or RANKS."""
 
     langs: list[str]
-    points: np.ndarray
     grams: np.ndarray
     ranks: np.ndarray
     most: int = RANKS
 
     @classmethod
     def of(cls, rows: list[tuple[str, int, int]], most: int = RANKS) -> Profiles:
-        """rows: lang, gram (of code points) and its rank from 0. Letters beyond the codes share one, as do their grams:
-        the better rank stands."""
+        """rows: lang, gram and its rank from 0."""
         langs = sorted({lang for lang, _, _ in rows})
-        mask = (1 << _WIDE) - 1
-        points = np.array(sorted({g >> (_WIDE * k) & mask for _, g, _ in rows for k in range(3)} - {0, _GAP})[: _OTHER - 2], np.int64)
-        own = cls(langs, points, np.empty(0, np.int32), np.empty((0, len(langs)), np.int32), most)
-        table = own.table()
-        code = lambda g: functools.reduce(lambda a, k: a << _BITS | (int(table[p]) if (p := g >> (_WIDE * k) & mask) else 0), (2, 1, 0), 0)
-        coded = [(lang, code(g), r) for lang, g, r in rows]
-        own.grams = np.array(sorted({g for _, g, _ in coded}), np.int32)
-        own.ranks = np.full((len(own.grams), len(langs)), most, np.int32)
-        for lang, g, r in coded:
-            at = int(np.searchsorted(own.grams, g)), langs.index(lang)
-            own.ranks[at] = min(own.ranks[at], r)
-        return own
-
-    def table(self) -> np.ndarray:
-        """The code of each code point that letters() gives."""
-        out = np.full(sys.maxunicode + 1, _OTHER, np.int32)
-        out[_GAP] = _GAP
-        out[self.points] = np.arange(2, 2 + len(self.points))
-        return out
-
-    def predict(self, text: bytes | None, table: np.ndarray) -> tuple[str, float]:
+        every = np.array(sorted({g for _, g, _ in rows}), np.int64)
+        ranks = np.full((len(every), len(langs)), most, np.int32)
+        for lang, g, r in rows:
+            ranks[np.searchsorted(every, g), langs.index(lang)] = r
+        return cls(langs, every, ranks, most)
+
+    def predict(self, text: bytes | None) -> tuple[str, float]:
         """The nearest profile's language, the first of equally near ones, and 1 - distance / largest distance; `und`
-        and 0 for a text without a letter."""
+        and 0 for a text without a letter. Of a text's equally frequent n-grams the first in order ranks first."""
         own = letters(text)
         if not len(own) or not self.langs:
             return "und", 0.0
-        gram, count = grams(table[own], _BITS)
+        gram, count = grams(own)
         gram = gram[np.argsort(-count, kind="stable")[: self.most]]
         at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
         known = self.grams[at] == gram
@@ -129,9 +112,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = RANKS) -> Profiles:
             for lang, text in zip(batch.column(2).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 held.setdefault(lang, []).append(letters(text))
             for lang, parts in held.items():
-                gram, n = grams(np.concatenate(parts), _WIDE)
+                gram, n = grams(np.concatenate(parts))
                 # where two texts meet, two gaps would be a gram
-                on = gram != (_GAP << _WIDE | _GAP)
+                on = gram != (_GAP << _BITS | _GAP)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * int(on.sum())), pa.array(gram[on]), pa.array(n[on], pa.int64())], names=["lang", "gram", "n"])
 
     summed = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -142,12 +125,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = RANKS) -> Profiles:
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (0 to 1) appended; only the text is looked at."""
-    tables: list[np.ndarray] = []
 
     def run(texts: list[bytes | None], _) -> list[pa.Array]:
-        if not tables:
-            tables.append(profiles.table())
-        out = [profiles.predict(t, tables[0]) for t in texts]
+        out = [profiles.predict(t) for t in texts]
         return [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
 
     return appended(docs, text, run, {"lang_pred": "string", "score": "double"})

@@ -50,7 +50,7 @@ p AS (SELECT DISTINCT item_id, m, array_to_string(ws[s:s + m - 1], ' ') AS k FRO
 w AS (SELECT doc_id, {_BENCH_WORDS} AS ws FROM documents),
 h AS (SELECT doc_id, s, p.m, item_id FROM (SELECT doc_id, z.m, s, array_to_string(ws[s:s + z.m - 1], ' ') AS k FROM w, (SELECT DISTINCT m FROM p) AS z, unnest(range(1, len(ws) - z.m + 2)) AS t(s)) AS x JOIN p ON p.m = x.m AND p.k = x.k),
 n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS j FROM h) GROUP BY doc_id),
-e AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM h GROUP BY doc_id)
+e AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR) FILTER (item_id IS NOT NULL)) AS ids FROM h GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN e USING (doc_id)
 """
