@@ -4,9 +4,13 @@ import base64
 import hashlib
 import html
 import random
+import re
+import time
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecspark.llm import langid, urls, warc
@@ -113,6 +117,81 @@ def test_plain_text():
     assert warc.plain_text(None) == warc.plain_text("<p></p>") == "" and warc.plain_text("a < b") == "a < b"
 
 
+def slow_text(page):
+    """The same, one character after another."""
+    s, out, i = " ".join((page or "").split()), [], 0
+
+    def end_of_tag(i):
+        while i < len(s) and s[i] != ">":
+            if s[i] == "=":
+                i += 1
+                while i < len(s) and s[i] == " ":
+                    i += 1
+                if i < len(s) and s[i] in "\"'":
+                    quote = s[i]
+                    i += 1
+                    while i < len(s) and s[i] != quote:
+                        i += 1
+                    i += 1
+            else:
+                i += 1
+        return i + 1
+
+    def named(i):
+        m = re.match("[a-zA-Z][a-zA-Z0-9]*(?=[ />])", s[i:])
+        return m[0].lower() if m else None
+
+    while i < len(s):
+        if s.startswith("<!--", i):
+            at = s.find("-->", i + 4)
+            out.append(" ")
+            i = len(s) if at < 0 else at + 3
+        elif s[i : i + 2] in ("<!", "<?"):
+            at = s.find(">", i)
+            i = len(s) if at < 0 else at + 1
+        elif re.match("</?[a-zA-Z]", s[i : i + 3]):
+            close = s[i + 1] == "/"
+            name = named(i + 1 + close)
+            to = end_of_tag(i + 1)
+            if name == "svg" and not close and s[to - 2 : to] == "/>":
+                i = to
+            elif name in ("script", "style", "svg", "title") and not close:
+                while to < len(s) and not (s.startswith("</", to) and named(to + 2) == name):
+                    to += 1
+                out.append("\n" if name == "title" else " ")
+                i = end_of_tag(to) if to < len(s) else to
+            else:
+                out.append("\n" if name in ("p", "br", "html", "title", "h1") else "")
+                i = to
+        else:
+            out.append(s[i])
+            i += 1
+    lines = (" ".join(x.split()) for x in html.unescape("".join(out)).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+MARKS = ["<p>", "</p>", "<p title=\"a>b\">", "<b x='", "<a href=y>", "</a", "<", ">", "=", "'", '"', " ", "\n", "x", "é", "&lt;", "&#65;", "<!--", "-->", "-", "<!d>", "<?x", "<script>", "</script>", "</SCRIPT x>", "<scripty>", "<svg/>", "<svg a=b>", "</svg>", "<title>", "</title >", "<BR/>", "<h1", "/", "</", "<html lang=en>", "<style>", "</style>"]
+
+
+@settings(deadline=None, max_examples=600)
+@given(st.lists(st.sampled_from(MARKS), max_size=25))
+def test_text_is_that_of_a_slow_scanner(parts):
+    assert warc.plain_text("".join(parts)) == slow_text("".join(parts))
+
+
+@pytest.mark.parametrize("part", ["<a ", "<p title=\"", "<!--", "<script>", "</script", "<title>", "<!", "= ", "<svg a=", "&#9", "<a href='x", "&", "<p>x"])
+def test_long_pages_take_little_time(part):
+    page = part * (5_000_000 // len(part))
+    began = time.process_time()
+    warc.scan(page)
+    assert time.process_time() - began < (6 if part == "<p>x" else 1.5)
+
+
+def test_facts_of_a_page():
+    page = "<!-- <title>no</title> --><html data-lang=xx lang='pt-BR'><title>Um &amp; <b>dois</title><title>2</title><a data-href=1>k</a><a title='>' href = x>l</a><p title='<script>'>m</p>&#99999999999999999999;"
+    assert warc.scan(page) == ("kl\nm\n\ufffd", "Um & <b>dois", "pt-BR", 1)
+
+
 def test_derivatives(spark):
     pages = spark.createDataFrame([(1, "http://a.example/x", PAGE, "z"), (2, None, None, "z"), (None, "u\r\nv", "", "z"), (1, "http://a.example/x", PAGE, "z")], "page_id long, url string, html string, block string")
     source = warc.responses(pages).persist()
@@ -141,8 +220,13 @@ def test_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", body()) for i in range(40)], "page_id long, url string, html string")
     records = warc.derive(warc.responses(pages), keep=True).persist()
     warc.write_warc(records, str(tmp_path / "w"))
-    names = ["type", "record_id", "refers_to", "headers", "block"]
+    names = ["source_id", "type", "record_id", "refers_to", "headers", "block"]
     assert sorted(map(str, warc.read_warc(spark, str(tmp_path / "w")).collect())) == sorted(map(str, records.select(names).collect()))
+    twice = warc.responses(spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (1, "u", None), (None, None, "x"), (None, None, "x")], "page_id long, url string, html string"))
+    warc.write_warc(twice, str(tmp_path / "t"))
+    back = warc.read_warc(spark, str(tmp_path / "t")).collect()
+    assert len(back) == len({r["record_id"] for r in back}) == 3
+    assert warc.distinct_pages(spark.createDataFrame([(1, "u", "x", 2), (1, "u", "x", 3), (None, None, None, 4), (None, None, None, 4)], "page_id long, url string, html string, _by int")).count() == 2
     odd = warc.responses(spark.createDataFrame([(1, "u", "x\r\n\r\nWARC/1.1\r\nWARC-Type: y")], "page_id long, url string, html string"))
     with pytest.raises(Exception, match="beginning of a record"):
         warc.write_warc(odd, str(tmp_path / "odd"))

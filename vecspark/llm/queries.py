@@ -49,8 +49,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each record that the builder derives, with digests for its block."""
-    records = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    """One row for each record that the builder derives, as it is read back from WARC files, with digests for its block."""
+    path = fresh_path(ready(spark), "warc")
+    warc.write_warc(warc.derive(warc.responses(warc.distinct_pages(_table(spark, sf_dir, "pages")))), path, once=False)
+    records = warc.read_warc(spark, path)
     named = lambda n: F.try_element_at(F.filter("headers", lambda h: h["name"] == n), F.lit(1))["value"]
     return records.select(F.col("source_id").alias("page_id"), "type", "record_id", "refers_to", named("WARC-Target-URI").alias("target_uri"), named("WARC-Date").alias("date"), named("WARC-Source-Payload-Digest").alias("source_digest"), named("WARC-Block-Digest").alias("block_digest"), F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("block", 256).alias("block_sha256"))
 
