@@ -64,3 +64,15 @@ def test_queries_are_prepared_without_change():
         prepare_query([1.0], 3, 2, False)
     with pytest.raises(TypeError):
         prepare_query(None, 3, None, False)
+
+
+def test_lengths_of_vectors_are_checked(spark):
+    from pyspark.sql import functions as F
+
+    from vecspark.functions.metrics import added, distance, dot
+
+    df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0, 5.0])], "a array<double>, b array<double>")
+    for f in (dot, distance, added):
+        with pytest.raises(Exception, match="different lengths"):
+            df.select(f(F.col("a"), F.col("b"))).collect()
+        assert df.select(f(F.col("a"), F.lit(None).cast("array<double>"))).first()[0] is None

@@ -29,7 +29,18 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def zipped(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of each two elements; null for a null, and an error where the lengths differ."""
+    other = F.raise_error(F.lit("vectors of different lengths")).cast("array<double>")
+    return F.zip_with(a, F.when(F.size(a) != F.size(b), other).otherwise(b), f)
+
+
 def dot(a: Column, b: Column) -> Column:
+    return total(zipped(a, b, lambda x, y: x * y))
+
+
+def plain_dot(a: Column, b: Column) -> Column:
+    """Without the check, for a search: Spark may score a row before it leaves it out for having no vector."""
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
@@ -38,6 +49,10 @@ def norm(a: Column) -> Column:
 
 
 def distance(a: Column, b: Column) -> Column:
+    return F.sqrt(total(zipped(a, b, lambda x, y: (x - y) * (x - y))))
+
+
+def _plain_distance(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
@@ -46,8 +61,7 @@ def max_magnitude(a: Column) -> Column:
 
 
 def added(a: Column, b: Column) -> Column:
-    """Element by element; an error where the lengths differ."""
-    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: x + y)).otherwise(F.raise_error(F.lit("vectors of different lengths")).cast("array<double>"))
+    return zipped(a, b, lambda x, y: x + y)
 
 
 def divided(a: Column, by: float) -> Column:
@@ -60,11 +74,11 @@ def _known(value: Column, otherwise: float) -> Column:
 
 
 def _cosine(a: Column, b: Column) -> Column:
-    return _known(F.try_divide(dot(a, b), norm(a) * norm(b)), 0.0)
+    return _known(F.try_divide(plain_dot(a, b), norm(a) * norm(b)), 0.0)
 
 
 def _euclidean(a: Column, b: Column) -> Column:
-    return 1 / (1 + distance(a, b))
+    return 1 / (1 + _plain_distance(a, b))
 
 
 def _manhattan(a: Column, b: Column) -> Column:
@@ -78,10 +92,10 @@ def _chebyshev(a: Column, b: Column) -> Column:
 def _pearson(a: Column, b: Column) -> Column:
     # sums of powers, so that no mean is inside a lambda: n*sxy - sx*sy over the root of both variances
     n, sa, sb = F.size(a), total(a), total(b)
-    va, vb = n * dot(a, a) - sa * sa, n * dot(b, b) - sb * sb
+    va, vb = n * plain_dot(a, a) - sa * sa, n * plain_dot(b, b) - sb * sb
     tiny = F.lit(1e-12)
-    flat = (va <= tiny * n * dot(a, a)) | (vb <= tiny * n * dot(b, b))
-    return F.when(flat, 0.0).otherwise(_known(F.try_divide(n * dot(a, b) - sa * sb, F.sqrt(va) * F.sqrt(vb)), 0.0))
+    flat = (va <= tiny * n * plain_dot(a, a)) | (vb <= tiny * n * plain_dot(b, b))
+    return F.when(flat, 0.0).otherwise(_known(F.try_divide(n * plain_dot(a, b) - sa * sb, F.sqrt(va) * F.sqrt(vb)), 0.0))
 
 
 def _hamming(a: Column, b: Column) -> Column:
@@ -141,7 +155,7 @@ METRICS: dict[str, Metric] = {
     m.name: m
     for m in (
         Metric("cosine", _cosine, _k_cosine, normalised=True),
-        Metric("dot", dot, lambda m, q: m @ q.T),
+        Metric("dot", plain_dot, lambda m, q: m @ q.T),
         Metric("euclidean", _euclidean, _k_euclidean),
         Metric("manhattan", _manhattan, lambda m, q: 1 / (1 + np.abs(m[:, None, :] - q[None]).sum(axis=2))),
         Metric("chebyshev", _chebyshev, lambda m, q: 1 / (1 + np.abs(m[:, None, :] - q[None]).max(axis=2))),
@@ -161,7 +175,14 @@ def custom(name: str, column: Callable[[Column, Column], Column] | None = None,
     if column is None:
         @F.pandas_udf("double")
         def score(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([float(kernel(np.asarray(x)[None], np.asarray(y)[None])[0, 0]) for x, y in zip(a, b, strict=True)])
+            out = np.empty(len(a))
+            if len(a) and a.map(len).nunique() == 1 and b.map(len).nunique() == 1:
+                rows, other = np.stack(a.to_list()), np.stack(b.to_list())
+                if (other == other[0]).all():  # one query: a call for each batch
+                    return pd.Series(np.asarray(kernel(rows, other[:1]), float)[:, 0])
+            for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                out[i] = kernel(np.asarray(x)[None], np.asarray(y)[None])[0, 0]
+            return pd.Series(out)
 
         column = score
     if kernel is None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prepare import checked
 from ..plans.schema import TableSpec
+from ..plans.session import stored
 
 
 class KeyConflict(ValueError):
@@ -34,13 +35,13 @@ def verify(rows: DataFrame) -> None:
 
 def add_range(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old and new together; an error, before anything else happens, for a null key, one that new has twice or one that
-    old has. One job checks all three."""
-    own = new.groupBy(key).agg(F.count("*").alias("n"))
-    clash = own.join(old.select(F.col(key), F.lit(True).alias("old")).distinct(), key, "left")
-    bad = clash.where(F.col(key).isNull() | (F.col("n") > 1) | F.col("old").isNotNull()).orderBy(key).limit(1).collect()
+    old has. old is only filtered by new's keys, which Spark broadcasts where they are few."""
+    bad = new.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).collect()
     if bad:
-        what = "a key is null" if bad[0][key] is None else f"key {bad[0][key]!r} exists" if bad[0]["old"] else f"key {bad[0][key]!r} is in the batch twice"
-        raise KeyConflict(what)
+        raise KeyConflict("a key is null" if bad[0][key] is None else f"key {bad[0][key]!r} is in the batch twice")
+    bad = old.select(key).join(new.select(key), key, "left_semi").limit(1).collect()
+    if bad:
+        raise KeyConflict(f"key {bad[0][key]!r} exists")
     return old.unionByName(new)
 
 
@@ -51,15 +52,25 @@ def last_of_each(new: DataFrame, key: str, order: str | Column) -> DataFrame:
 
 
 def upsert_range(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """new's rows in place of old's of equal key; of rows of new with equal keys the last by order stays (by default, that
-    in which new is read). order is no column of the result."""
+    """new's rows in place of old's of equal key; of rows of new with equal keys the last by order stays. order is no
+    column of the result; without it the order is that in which new is read, once, and stored."""
     if new.where(F.col(key).isNull()).limit(1).collect():
         raise KeyConflict("a key is null")
-    ordered = new if order else new.withColumn("_order", F.monotonically_increasing_id())
-    last = last_of_each(ordered, key, order or "_order").drop(order or "_order")
+    ordered = new if order else read_once(new)
+    last = last_of_each(ordered, key, order or ORDER).drop(order or ORDER)
     return old.join(last.select(key), key, "left_anti").select(*old.columns).unionByName(last)
 
 
+#: The place at which a row of a batch was read.
+ORDER = "_order"
+
+
+def read_once(new: DataFrame) -> DataFrame:
+    """new with the order in which it was read, stored, so that every plan over it, and a task that is run again, sees the
+    same order."""
+    return stored(new.withColumn(ORDER, F.monotonically_increasing_id()), "batch")
+
+
 def remove_keys(old: DataFrame, dead: DataFrame, key: str) -> DataFrame:
     return old.join(dead.select(key), key, "left_anti").select(*old.columns)
 
@@ -77,9 +88,9 @@ def clear(rows: DataFrame) -> DataFrame:
     return rows.limit(0)
 
 
-def merge(sources: list[DataFrame], key: str, policy: str) -> DataFrame:
+def merge(sources: list[DataFrame], key: str, policy: str, order: str | None = None) -> DataFrame:
     """append: all rows. last, first: for each key the row of the last or first source that has it, of equal keys in one
-    source the last or first read; null keys are dropped."""
+    source the one that order, a column, puts last or first, or else a hash of the row; null keys are dropped."""
     if policy not in {"append", "last", "first"}:
         raise ValueError(f"unknown policy {policy!r}")
     if policy == "append":
@@ -87,7 +98,7 @@ def merge(sources: list[DataFrame], key: str, policy: str) -> DataFrame:
         for s in sources[1:]:
             out = out.unionByName(s)
         return out
-    tagged = [s.withColumns({"_source": F.lit(i), "_row": F.monotonically_increasing_id()}) for i, s in enumerate(sources)]
+    tagged = [s.withColumns({"_source": F.lit(i), "_row": F.col(order) if order else F.xxhash64(*[F.col(f"`{c}`") for c in s.columns])}) for i, s in enumerate(sources)]
     every = tagged[0]
     for s in tagged[1:]:
         every = every.unionByName(s)

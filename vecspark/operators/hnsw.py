@@ -1,8 +1,13 @@
 """Navigable small-world graphs, one for each shard of the rows.
 
 Rows are dealt to shards of a stated size by a hash of the key; a task builds a shard's graph in numpy and stores it as a
-row: keys, vectors, levels and links. A search descends each shard's graph and merges the shards' best. Shards are
-seeded, so that a rebuild gives the same graph. Deleted keys are left out of results until a rebuild.
+row: keys, vectors, and links as arrays of 32-bit integers, which a search reads as they are. A search descends each
+shard's graph, for many queries at once, and merges the shards' best. Shards are seeded, so that a rebuild gives the same
+graph.
+
+Changes go into the graphs of the shards that they fall into: a removed row is marked and passed through but not found,
+and a new one is linked in. A shard with many marked rows is built anew. An index that was stored beside a table is
+reconciled with the rows that the table has now.
 """
 
 from __future__ import annotations
@@ -15,36 +20,71 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.metrics import Vector
 from ..functions.prepare import searchable
 from ..plans.schema import VectorField
-from .search import SCORE, ordering, prepared, query_of
+from ..plans.session import fresh_path, stored
+from .search import SCORE, batches_of, merged, ordering, prepared, query_of
 
-#: Rows of a shard, about.
-SHARD_ROWS = 20_000
+#: Rows of a shard, about, and bytes of its vectors at most.
+SHARD_ROWS, SHARD_BYTES = 20_000, 64 << 20
 SEED = 42
-SHARD = "shard long, n int, dims int, keys string, vectors binary, levels binary, links binary"
+#: The share of removed rows from which on a shard is built anew, and how often the planned size it may have.
+REMOVED, GROWN = 0.25, 2
+
+
+class Level:
+    """Stored links of a level: those of nodes[i] are near[edge[i]:edge[i + 1]]."""
+
+    def __init__(self, nodes: np.ndarray, edge: np.ndarray, near: np.ndarray):
+        self.nodes, self.edge, self.near = nodes, edge, near
+        self.whole = len(nodes) > 0 and int(nodes[-1]) + 1 == len(nodes)
+
+    def get(self, node: int, default=()) -> list[int]:
+        i = node if self.whole else int(np.searchsorted(self.nodes, node))
+        if i >= len(self.nodes) or self.nodes[i] != node:
+            return default
+        return self.near[self.edge[i] : self.edge[i + 1]].tolist()
+
+    def __len__(self) -> int:
+        return len(self.nodes)
+
+    def thawed(self) -> dict[int, list[int]]:
+        return {n: self.near[a:b].tolist() for n, a, b in zip(self.nodes.tolist(), self.edge[:-1].tolist(), self.edge[1:].tolist(), strict=True)}
+
+    @classmethod
+    def of(cls, links: dict[int, list[int]]) -> Level:
+        nodes = sorted(links)
+        edge = np.concatenate([[0], np.cumsum([len(links[n]) for n in nodes])]).astype("<i4")
+        return cls(np.array(nodes, "<i4"), edge, np.array([x for n in nodes for x in links[n]], "<i4"))
 
 
 class Graph:
-    """Nodes 0 .. n - 1 with vectors; links[level][node] are neighbours."""
+    """Nodes 0 .. n - 1 with vectors; links[level].get(node) are neighbours. removed nodes are walked but not found."""
 
     def __init__(self, m: int, ef: int, like, seed: int):
         self.m, self.ef, self.like = m, ef, like
         self.rng = np.random.default_rng(seed)
         self.vectors = np.empty((0, 0))
-        self.links: list[dict[int, list[int]]] = []
+        self.removed = np.empty(0, bool)
+        self.links: list = []
         self.entry = -1
 
     def most(self, level: int) -> int:
         return self.m * 2 if level == 0 else self.m
 
-    def build(self, vectors: np.ndarray) -> Graph:
-        self.vectors = vectors
-        for node in range(len(vectors)):
+    def add(self, vectors: np.ndarray) -> Graph:
+        """Links new nodes in, after those that are there."""
+        first = len(self.vectors)
+        self.links = [x.thawed() if isinstance(x, Level) else x for x in self.links]
+        self.vectors = np.concatenate([self.vectors, vectors]) if first else vectors
+        self.removed = np.concatenate([self.removed, np.zeros(len(vectors), bool)])
+        for node in range(first, len(self.vectors)):
             self._insert(node, int(-math.log(1.0 - self.rng.random()) / math.log(max(2, self.m))))
         return self
 
@@ -83,11 +123,12 @@ class Graph:
         heapq.heapify(best), heapq.heapify(todo)
         while len(best) > ef:
             heapq.heappop(best)
+        links = self.links[level]
         while todo:
             away, node = heapq.heappop(todo)
             if -away < best[0][0] and len(best) >= ef:
                 break
-            new = [n for n in self.links[level].get(node, ()) if n not in seen]
+            new = [n for n in links.get(node, ()) if n not in seen]
             if not new:
                 continue
             seen.update(new)
@@ -101,10 +142,35 @@ class Graph:
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
         if self.entry < 0:
             return []
+        gone = int(self.removed.sum())
+        if gone:  # as many more as may be passed through
+            ef = min(len(self.vectors), math.ceil(max(ef, k) * len(self.vectors) / max(1, len(self.vectors) - gone)))
         start = [self.entry]
         for level in range(len(self.links) - 1, 0, -1):
             start = [self._beam(q, start, level, 1)[0][1]]
-        return self._beam(q, start, 0, max(ef, k))[:k]
+        return [x for x in self._beam(q, start, 0, max(ef, k)) if not self.removed[x[1]]][:k]
+
+    def row(self, shard: int, keys: list) -> dict:
+        levels = [x if isinstance(x, Level) else Level.of(x) for x in self.links]
+        bytes_ = lambda name: [getattr(x, name).tobytes() for x in levels]
+        dims = self.vectors.shape[1] if len(self.vectors) else 0
+        return {"shard": shard, "n": len(keys), "alive": len(keys) - int(self.removed.sum()), "dims": dims, "entry": self.entry, "keys": keys, "vectors": self.vectors.astype("<f8").tobytes(), "removed": self.removed.astype(np.uint8).tobytes(), "nodes": bytes_("nodes"), "edges": bytes_("edge"), "near": bytes_("near")}
+
+    def load(self, row: dict) -> Graph:
+        self.vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], row["dims"])
+        self.removed = np.frombuffer(row["removed"], np.uint8).astype(bool)
+        self.links = [Level(*(np.frombuffer(x, "<i4") for x in level)) for level in zip(row["nodes"], row["edges"], row["near"], strict=True)]
+        self.entry = row["entry"]
+        return self
+
+
+def shard_schema(key: T.DataType) -> T.StructType:
+    out = T.StructType().add("shard", T.LongType()).add("n", T.IntegerType()).add("alive", T.IntegerType()).add("dims", T.IntegerType()).add("entry", T.IntegerType()).add("keys", T.ArrayType(key))
+    for name in ("vectors", "removed"):
+        out = out.add(name, T.BinaryType())
+    for name in ("nodes", "edges", "near"):
+        out = out.add(name, T.ArrayType(T.BinaryType()))
+    return out
 
 
 def _like(field: VectorField):
@@ -114,77 +180,202 @@ def _like(field: VectorField):
     return lambda m, q: metric.kernel(m, q[None])[:, 0]
 
 
+def _matrix(field: VectorField, column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    m = np.array(column.to_pylist(), float).reshape(len(column), field.effective or field.dims)
+    if field.resolved.normalised:
+        size = np.sqrt(np.einsum("ij,ij->i", m, m))
+        m = np.divide(m, size[:, None], out=m.copy(), where=size[:, None] > 0)
+    return m
+
+
+def _mark(m: np.ndarray) -> list[int]:
+    """A hash of each row, by which a stored vector and a table's are compared."""
+    import xxhash
+
+    return [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in m.astype("<f8")]
+
+
 @dataclass
 class HnswIndex:
+    """count: the number of shards. shards: their rows, those of later changes in place of earlier ones."""
+
     field: VectorField
     key: str
+    kind: T.DataType
+    count: int
     shards: DataFrame
-    n: int
+
+    @property
+    def n(self) -> int:
+        """Rows that can be found."""
+        return self.shards.agg(F.sum("alive")).first()[0] or 0
 
     @classmethod
     def build(cls, df: DataFrame, key: str, field: VectorField, path: str, shard_rows: int = SHARD_ROWS) -> HnswIndex:
         """Writes the shards' graphs to path, with a record of the parameters they were made with."""
-        spec, like = field.index, _like(field)
-        own = df.where(searchable(F.col(field.name))).select(F.col(key).alias("_k"), prepared(field).alias("_v"))
-        n = own.count()
-        count = max(1, -(-n // shard_rows))
+        own = cls._rows(df, key, field)
+        kind = df.schema[key].dataType
+        count = max(1, -(-own.count() // max(1, min(shard_rows, SHARD_BYTES // (8 * field.dims)))))
+        spec, like, schema = field.index, _like(field), shard_schema(kind)
+        arrow = _arrow(schema)
 
         def run(table: pa.Table) -> pa.Table:
             table = table.sort_by("_k")
-            number, keys = table["_s"][0].as_py(), table["_k"].to_pylist()
-            m = np.array(table["_v"].to_pylist(), float)
-            if field.resolved.normalised:
-                size = np.sqrt(np.einsum("ij,ij->i", m, m))
-                m = np.divide(m, size[:, None], out=m.copy(), where=size[:, None] > 0)
-            graph = Graph(spec.m, spec.ef_construction, like, SEED + number).build(m)
-            links = json.dumps({"entry": graph.entry, "links": [{str(a): b for a, b in level.items()} for level in graph.links]}).encode()
-            levels = np.array([sum(i in level for level in graph.links) for i in range(len(keys))], "<i4")
-            return pa.table({"shard": [number], "n": pa.array([len(keys)], pa.int32()), "dims": pa.array([m.shape[1]], pa.int32()), "keys": [json.dumps(keys)], "vectors": [m.astype("<f8").tobytes()], "levels": [levels.tobytes()], "links": [links]})
-
-        shards = own.withColumn("_s", F.pmod(F.xxhash64("_k"), F.lit(count)).cast("long")).groupBy("_s").applyInArrow(run, SHARD)
-        shards.withColumn("made_with", F.lit(cls._made_with(field))).write.mode("overwrite").parquet(path)
-        return cls.load(df.sparkSession, key, field, path)
+            number = table["shard"][0].as_py()
+            graph = Graph(spec.m, spec.ef_construction, like, SEED + number).add(_matrix(field, table["_v"]))
+            return pa.Table.from_pylist([graph.row(number, table["_k"].to_pylist())], arrow)
+
+        shards = own.withColumn("shard", cls._dealt(count)).groupBy("shard").applyInArrow(run, schema)
+        cls._tagged(shards, field, count).write.mode("overwrite").parquet(path)
+        return cls.load(df.sparkSession, key, field, path, kind)
 
     @staticmethod
-    def _made_with(field: VectorField) -> str:
+    def _rows(df: DataFrame, key: str, field: VectorField) -> DataFrame:
+        return df.where(searchable(F.col(field.name))).select(F.col(key).alias("_k"), prepared(field).alias("_v"))
+
+    @staticmethod
+    def _dealt(count: int):
+        return F.pmod(F.xxhash64("_k"), F.lit(count)).cast("long")
+
+    @classmethod
+    def _tagged(cls, shards: DataFrame, field: VectorField, count: int) -> DataFrame:
+        return shards.withColumns({"made_with": F.lit(cls.made_with(field)), "count": F.lit(count)})
+
+    @staticmethod
+    def made_with(field: VectorField) -> str:
         spec = field.index
         return json.dumps([field.resolved.name, field.effective or field.dims, spec.m, spec.ef_construction])
 
     @classmethod
-    def load(cls, spark: SparkSession, key: str, field: VectorField, path: str) -> HnswIndex:
+    def load(cls, spark: SparkSession, key: str, field: VectorField, path: str, kind: T.DataType | None = None) -> HnswIndex:
         """The index in path; an error if it was made with other parameters, so that it has to be rebuilt."""
         shards = spark.read.parquet(path)
-        other = shards.where(F.col("made_with") != cls._made_with(field)).limit(1).collect()
-        if other:
-            raise ValueError(f"the index was made with {other[0]['made_with']}, not {cls._made_with(field)}")
-        return cls(field, key, shards.drop("made_with"), shards.agg(F.sum("n")).first()[0] or 0)
+        first = shards.select("made_with", "count").limit(1).collect()
+        if first and first[0]["made_with"] != cls.made_with(field):
+            raise ValueError(f"the index was made with {first[0]['made_with']}, not {cls.made_with(field)}")
+        return cls(field, key, kind or shards.schema["keys"].dataType.elementType, first[0]["count"] if first else 1, shards.drop("made_with", "count"))
+
+    def save(self, path: str) -> None:
+        self._tagged(self.shards, self.field, self.count).write.parquet(path)
+
+    # changes
+
+    def updated(self, keys: DataFrame, rows: DataFrame, shard_rows: int = SHARD_ROWS) -> HnswIndex:
+        """The index after the rows of keys have gone, and those of them that are in rows, a table, have come (again).
+        Only the shards that they fall into are written; the number of shards is what reaches the driver."""
+        keys = keys.select(F.col(self.key).alias("_k")).distinct()
+        new = self._rows(rows, self.key, self.field).join(keys, "_k", "left_semi")
+        changes = keys.select("_k", F.lit(None).cast("array<double>").alias("_v")).unionByName(new).withColumn("shard", self._dealt(self.count))
+        changes = stored(changes, "changes")
+        touched = [r["shard"] for r in changes.select("shard").distinct().collect()]
+        if not touched:
+            return self
+        spark, field, like, spec = rows.sparkSession, self.field, _like(self.field), self.field.index
+        schema = shard_schema(self.kind)
+        arrow, most = _arrow(schema), GROWN * shard_rows
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            number = (left if left.num_rows else right)["shard"][0].as_py()
+            graph, known = Graph(spec.m, spec.ef_construction, like, SEED + number + (left["n"][0].as_py() if left.num_rows else 0)), []
+            if left.num_rows:
+                row = left.to_pylist()[0]
+                graph.load(row)
+                known = row["keys"]
+            gone = set(right["_k"].to_pylist())
+            graph.removed = graph.removed | np.array([k in gone for k in known], bool)
+            came = right.filter(pc.is_valid(right["_v"])).sort_by("_k")
+            vectors, names = _matrix(field, came["_v"]), came["_k"].to_pylist()
+            if graph.removed.sum() > REMOVED * (len(known) + len(names)):
+                alive = np.flatnonzero(~graph.removed)
+                old, known = graph.vectors[alive], [known[i] for i in alive.tolist()]
+                graph = Graph(spec.m, spec.ef_construction, like, SEED + number)
+                vectors, names, known = np.concatenate([old, vectors]) if len(old) else vectors, known + names, []
+            if len(names):
+                graph.add(vectors)
+            return pa.Table.from_pylist([graph.row(number, known + names)], arrow)
+
+        old = self.shards.where(F.col("shard").isin(touched))
+        path = fresh_path(spark, "hnsw")
+        old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(run, schema).write.parquet(path)
+        now = self.shards.where(~F.col("shard").isin(touched)).unionByName(spark.read.schema(schema).parquet(path))
+        out = HnswIndex(field, self.key, self.kind, self.count, now)
+        if now.where(F.col("n") > most).limit(1).collect():  # dealt anew to more shards
+            return HnswIndex.build(rows, self.key, field, fresh_path(spark, "hnsw"), shard_rows)
+        return out
+
+    def held(self) -> DataFrame:
+        """_k and _h, a hash of its vector, of each row that can be found."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    alive = np.flatnonzero(np.frombuffer(row["removed"], np.uint8) == 0)
+                    m = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], row["dims"])[alive]
+                    yield pa.RecordBatch.from_arrays([pa.array([row["keys"][j] for j in alive.tolist()], kind), pa.array(_mark(m), pa.int64())], names=["_k", "_h"])
+
+        schema = T.StructType().add("_k", self.kind).add("_h", T.LongType())
+        kind = _arrow(schema).field("_k").type
+        return self.shards.select("n", "dims", "keys", "vectors", "removed").mapInArrow(run, schema)
+
+    def reconciled(self, rows: DataFrame) -> HnswIndex:
+        """The index as it should be for the table's rows: what it has and the table hasn't goes, what it lacks or has
+        with another vector comes."""
+        field = self.field
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_mark(_matrix(field, batch.column(1))), pa.int64())], names=["_k", "_h"])
+
+        table = self._rows(rows, self.key, field).mapInArrow(run, T.StructType().add("_k", self.kind).add("_h", T.LongType()))
+        both = self.held().withColumnRenamed("_h", "_i").join(table, "_k", "full")
+        return self.updated(stored(both.where(~F.col("_h").eqNullSafe(F.col("_i"))).select(F.col("_k").alias(self.key)), "changed"), rows)
+
+    # search
+
+    def _found(self, ids: list, vectors: list[list[float]], each: int, wide: int) -> DataFrame:
+        """_i, _k and similarity: for each query, by its place, the best of each shard."""
+        field, like, q = self.field, _like(self.field), np.array(vectors, float).reshape(len(ids), -1)
+        sent = self.shards.sparkSession.sparkContext.broadcast(q)
+        schema = T.StructType().add("_i", T.LongType()).add("_k", self.kind).add(SCORE, T.DoubleType())
+        kind = _arrow(schema).field("_k").type
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    keys = row.column("keys").flatten()
+                    graph = Graph(field.index.m, wide, like, 0).load({n: row.column(n)[0].as_py() for n in row.schema.names if n != "keys"})
+                    found = [(j, n, s) for j, own in enumerate(sent.value) for s, n in graph.search(own, each, wide)]
+                    at = pa.array([f[1] for f in found], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), keys.take(at).cast(kind), pa.array([f[2] for f in found], pa.float64())], names=["_i", "_k", SCORE])
+
+        return self.shards.mapInArrow(run, schema)
 
     def topk(self, q: Vector, k: int, live: DataFrame | None = None, ef: int | None = None) -> DataFrame:
         """key and similarity of k near rows. live: rows whose keys still count; others are dropped after each shard has
         found ef of its own."""
         if k <= 0:
             raise ValueError(f"k must be positive, not {k}")
-        field, own, like = self.field, np.asarray(query_of(self.field, q)), _like(self.field)
-        wide = max(ef or field.index.ef_search, k)
-        each, name_of_key = k if live is None else wide, self.key
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    graph, kept = Graph(field.index.m, wide, like, 0), json.loads(row["links"])
-                    graph.vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], row["dims"])
-                    graph.links, graph.entry = [{int(a): b for a, b in level.items()} for level in kept["links"]], kept["entry"]
-                    found, keys = graph.search(own, each, wide), json.loads(row["keys"])
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for _, i in found], kind), pa.array([s for s, _ in found], pa.float64())], names=[name_of_key, SCORE])
-
-        text = self.shards.select(F.get_json_object("keys", "$[0]")).first() if self.n else None
-        sample = json.loads(self.shards.select("keys").first()["keys"])[0] if text else 0
-        kind, name = (pa.string(), "string") if isinstance(sample, str) else (pa.int64(), "long")
-        hits = self.shards.mapInArrow(run, f"`{self.key}` {name}, {SCORE} double")
+        wide = max(ef or self.field.index.ef_search, k)
+        hits = self._found([0], [query_of(self.field, q)], k if live is None else wide, wide).select(F.col("_k").alias(self.key), SCORE)
         if live is not None:
             hits = hits.join(live.select(self.key), self.key, "left_semi")
         return hits.orderBy(*ordering(self.key)).limit(k)
 
+    def batch_topk(self, queries: DataFrame, query_key: str, query_vector: str, k: int, ef: int | None = None) -> DataFrame:
+        """query_key, key, similarity and rank (from 1) of k near rows for each query. Each block of queries opens a shard
+        once."""
+        if k <= 0:
+            raise ValueError(f"k must be positive, not {k}")
+        wide = max(ef or self.field.index.ef_search, k)
+        return batches_of(queries, query_key, query_vector, self.field, lambda ids, vectors: merged(self._found(ids, vectors, k, wide), ids, queries.schema[query_key].dataType, k), self.kind, self.key)
+
     def threshold(self, q: Vector, least: float) -> DataFrame:
         """Of the max(ef_search, n // 10) nearest rows those that reach least, in order."""
         return self.topk(q, max(self.field.index.ef_search, self.n // 10)).where(F.col(SCORE) >= least).orderBy(*ordering(self.key))
+
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)

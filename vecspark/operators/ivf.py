@@ -1,12 +1,14 @@
 """Inverted-file index: rows are assigned to the nearest of some centroids, and a query scans the lists of the nearest few.
 
-Centroids are learned on the driver from a bounded sample by k-means++ and Lloyd's steps with the field's own metric, and
-every row is then assigned, new ones when they are written. The index is a table in order of cluster_id, so that a
-query's list of clusters prunes files and row groups.
+Centroids are learned from a sample that has some rows for each of them, by Lloyd's steps with the field's own metric: on
+the driver after k-means++ where its bytes are few, and otherwise by a job for each step, in which tasks sum up the rows
+nearest to each centroid. Every row is then assigned, new ones as they come. The index is a table in order of cluster_id,
+so that a query's list of clusters prunes files and row groups; changes stand beside it until there are several.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,10 +22,15 @@ from pyspark.sql import types as T
 from ..functions.metrics import Vector
 from ..functions.prepare import searchable
 from ..plans.schema import VectorField
-from .search import ordering, prepared, query_of, score, SCORE
+from ..plans.session import fresh_path, stored
+from .search import SCORE, batches_of, merged, ordering, prepared, query_of, score
 
-#: Rows that centroids are learned from at most, and Lloyd's steps at most.
-SAMPLE_ROWS, STEPS, SEED = 50_000, 50, 42
+#: Rows that centroids are learned from, more where a centroid has fewer than PER_CLUSTER; and Lloyd's steps at most.
+SAMPLE_ROWS, PER_CLUSTER, STEPS, SEED = 50_000, 64, 50, 42
+#: Bytes of a sample that is learned from on the driver, and steps of jobs at most.
+LOCAL_BYTES, JOBS = 128 << 20, 12
+#: Changes after which the index table is written anew; and how often its rows may double before centroids are, too.
+CHANGES, GROWN = 8, 4
 CLUSTER = "cluster_id"
 
 
@@ -31,7 +38,7 @@ def _likeness(field: VectorField, m: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Rows by centroids, in blocks of rows."""
     metric = field.resolved
     kernel = (lambda a, b: a @ b.T) if metric.normalised or metric.name == "dot" else metric.kernel
-    step = max(1, (1 << 22) // max(1, c.size))
+    step = max(1, (1 << 22) // max(1, len(c) if metric.normalised or metric.name == "dot" else c.size))
     return np.concatenate([kernel(m[i : i + step], c) for i in range(0, len(m), step)]) if len(m) else np.empty((0, len(c)))
 
 
@@ -60,14 +67,61 @@ def learn(field: VectorField, m: np.ndarray, clusters: int) -> np.ndarray:
     return c
 
 
+def learn_in_jobs(field: VectorField, vectors: DataFrame, clusters: int) -> np.ndarray:
+    """The same from vectors (_k, _v), a stored table; the first centroids are rows chosen by a hash. What reaches the
+    driver at each step is a sum for each centroid."""
+    first = vectors.orderBy(F.xxhash64("_k", F.lit(SEED)), "_k").limit(clusters).select("_v").toArrow()["_v"]
+    c, before = _rows(field, first.combine_chunks()).copy(), None
+    for _ in range(JOBS):
+        sent = vectors.sparkSession.sparkContext.broadcast(c)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            c = sent.value
+            sums, count, far = np.zeros_like(c), np.zeros(len(c), np.int64), 0.0
+            for b in batches:
+                m = _rows(field, b.column(0))
+                like = _likeness(field, m, c)
+                own = np.argmax(like, axis=1) if len(m) else np.empty(0, np.int64)
+                far += float(like[np.arange(len(m)), own].sum())
+                np.add.at(sums, own, m)
+                count += np.bincount(own, minlength=len(c))
+            on = np.flatnonzero(count)
+            like = np.zeros(len(on))
+            like[:1] = far
+            yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(count[on]), pa.array(list(sums[on]), pa.list_(pa.float64())), pa.array(like)], names=["c", "n", "s", "far"])
+
+        def add(t: pa.Table) -> pa.Table:
+            total = np.array(t["s"].to_pylist()).sum(axis=0)
+            return pa.table({"c": t["c"][:1], "n": pa.array([sum(t["n"].to_pylist())]), "s": pa.array([total.tolist()]), "far": pa.array([sum(t["far"].to_pylist())])})
+
+        schema = "c long, n long, s array<double>, far double"
+        got = vectors.select("_v").mapInArrow(run, schema).groupBy("c").applyInArrow(add, schema).toArrow()
+        sent.unpersist()
+        at, n = got["c"].to_numpy(), got["n"].to_numpy()
+        c[at] = np.array(got["s"].to_pylist()) / n[:, None]
+        far = float(got["far"].to_numpy().sum())
+        if before is not None and abs(far - before) <= 1e-4 * abs(before):
+            break
+        before = far
+    return c
+
+
+def _rows(field: VectorField, v: pa.Array) -> np.ndarray:
+    m = np.asarray(v.flatten(), float).reshape(len(v), field.effective or field.dims)
+    return _normal(m) if field.resolved.normalised else m
+
+
 @dataclass
 class IvfIndex:
-    """rows: the searchable rows of the table with cluster_id."""
+    """rows: the searchable rows of the table with cluster_id. trained: the number of rows when centroids were learned;
+    changes: those since the index table was written."""
 
     field: VectorField
     key: str
     centroids: np.ndarray
     rows: DataFrame
+    trained: int = 0
+    changes: int = 0
 
     @classmethod
     def build(cls, df: DataFrame, key: str, field: VectorField, path: str | None = None, sample_rows: int = SAMPLE_ROWS) -> IvfIndex:
@@ -76,18 +130,62 @@ class IvfIndex:
         own = df.where(searchable(F.col(field.name)))
         n = own.count()
         k = field.index.clusters or max(1, math.isqrt(n))
-        vectors = own.select(F.col(key), prepared(field).alias("_v"))
-        if n > sample_rows:
-            vectors = vectors.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
-        got = vectors.orderBy(key).select("_v").toPandas()["_v"] if n else []
-        m = np.array([list(v) for v in got], float).reshape(len(got), field.effective or field.dims)
-        m = _normal(m) if field.resolved.normalised else m
-        centroids = learn(field, m, k) if len(m) else np.empty((0, field.effective or field.dims))
-        index = cls(field, key, centroids, own)
+        vectors, dims = own.select(F.col(key).alias("_k"), prepared(field).alias("_v")), field.effective or field.dims
+        want = max(sample_rows, PER_CLUSTER * k)
+        if n > want:
+            vectors = vectors.where(F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < int((1 << 30) * want / n))
+        if not n:
+            centroids = np.empty((0, dims))
+        elif 8 * dims * min(n, want) > LOCAL_BYTES:
+            centroids = learn_in_jobs(field, stored(vectors, "sample"), k)
+        else:
+            m = _rows(field, vectors.orderBy("_k").select("_v").toArrow()["_v"].combine_chunks())
+            centroids = learn(field, m, k) if len(m) else np.empty((0, dims))
+        index = cls(field, key, centroids, own, n)
         index.rows = index.assign(own)
         if path:
-            index.rows.repartitionByRange(CLUSTER).sortWithinPartitions(CLUSTER).write.mode("overwrite").parquet(path)
-            index.rows = df.sparkSession.read.schema(index.rows.schema).parquet(path)
+            index._write(path)
+        return index
+
+    def _write(self, path: str) -> None:
+        self.rows.repartitionByRange(CLUSTER).sortWithinPartitions(CLUSTER).write.mode("overwrite").parquet(path)
+        self.rows, self.changes = self.rows.sparkSession.read.schema(self.rows.schema).parquet(path), 0
+
+    def updated(self, keys: DataFrame, rows: DataFrame) -> IvfIndex:
+        """The index after the rows of keys have gone, and those of them that are in rows, a table, have come (again). The
+        new ones are assigned to the centroids that there are; these are learned anew when there are GROWN times the
+        rows."""
+        keys = stored(keys.select(self.key).distinct(), "changes")
+        new = stored(self.assign(rows.where(searchable(F.col(self.field.name))).join(keys, self.key, "left_semi").select(*rows.columns)), "assigned")
+        out = IvfIndex(self.field, self.key, self.centroids, self.rows.join(keys, self.key, "left_anti").unionByName(new), self.trained, self.changes + 1)
+        if out.changes >= CHANGES or not len(self.centroids):
+            path = fresh_path(rows.sparkSession, "ivf")
+            if rows.count() > GROWN * self.trained:
+                return IvfIndex.build(rows, self.key, self.field, path)
+            out._write(path)
+        return out
+
+    @staticmethod
+    def made_with(field: VectorField) -> str:
+        return json.dumps([field.resolved.name, field.effective or field.dims, field.index.clusters])
+
+    def save(self, path: str) -> None:
+        """The centroids; rows are assigned when the index is loaded."""
+        spark = self.rows.sparkSession
+        spark.createDataFrame([(i, x.tolist(), self.trained, self.made_with(self.field)) for i, x in enumerate(self.centroids)], "id int, centroid array<double>, trained long, made_with string").write.parquet(path)
+
+    @classmethod
+    def load(cls, df: DataFrame, key: str, field: VectorField, path: str, to: str) -> IvfIndex:
+        """The index whose centroids are in path, over the rows of df, written to to; an error if it was made with other
+        parameters."""
+        got = df.sparkSession.read.parquet(path).orderBy("id").collect()
+        if got and got[0]["made_with"] != cls.made_with(field):
+            raise ValueError(f"the index was made with {got[0]['made_with']}, not {cls.made_with(field)}")
+        centroids = np.array([r["centroid"] for r in got], float).reshape(len(got), field.effective or field.dims)
+        own = df.where(searchable(F.col(field.name)))
+        index = cls(field, key, centroids, own, got[0]["trained"] if got else 0)
+        index.rows = index.assign(own)
+        index._write(to)
         return index
 
     def assign(self, df: DataFrame) -> DataFrame:
@@ -99,9 +197,8 @@ class IvfIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                v = b.column(b.num_columns - 1)
-                m = np.asarray(v.flatten(), float).reshape(len(v), held.value.shape[1])
-                near = np.argmax(_likeness(field, _normal(m) if field.resolved.normalised else m, held.value), axis=1) if len(m) else np.empty(0)
+                m = _rows(field, b.column(b.num_columns - 1))
+                near = np.argmax(_likeness(field, m, held.value), axis=1) if len(m) else np.empty(0)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(near.astype(np.int32))], names=[*names, CLUSTER])
 
         rows = df.withColumn("_v", prepared(field))
@@ -121,6 +218,41 @@ class IvfIndex:
             raise ValueError(f"k must be positive, not {k}")
         return self._lists(q, probes or self.field.index.probes).orderBy(*ordering(self.key)).limit(k)
 
+    def batch_topk(self, queries: DataFrame, query_key: str, query_vector: str, k: int, probes: int | None = None) -> DataFrame:
+        """query_key, key, similarity and rank (from 1): of the rows in each query's probed lists the k most similar."""
+        if k <= 0:
+            raise ValueError(f"k must be positive, not {k}")
+        run = lambda ids, vectors: merged(self._probed(vectors, k, probes or self.field.index.probes), ids, queries.schema[query_key].dataType, k)
+        return batches_of(queries, query_key, query_vector, self.field, run, self.rows.schema[self.key].dataType, self.key)
+
+    def _probed(self, vectors: list[list[float]], k: int, probes: int) -> DataFrame:
+        """_i, _k and similarity: the best k of each batch's rows in a list, for the queries that probe it."""
+        field, q = self.field, np.array(vectors)
+        metric, wanted = field.resolved, {}
+        for i, v in enumerate(vectors):
+            for c in self.nearest(v, probes):
+                wanted.setdefault(c, []).append(i)
+        sent = self.rows.sparkSession.sparkContext.broadcast((q, wanted))
+        schema = T.StructType().add("_i", T.LongType()).add("_k", self.rows.schema[self.key].dataType).add(SCORE, T.DoubleType())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, wanted = sent.value
+            for b in batches:
+                cluster, m = b.column(1).to_numpy(), _rows(field, b.column(2))
+                at, own, like = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+                for c in np.unique(cluster).tolist():
+                    rows, asked = np.flatnonzero(cluster == c), np.array(wanted[c])
+                    s = m[rows] @ q[asked].T if metric.normalised else metric.kernel(m[rows], q[asked])
+                    top = np.argsort(-s, axis=0, kind="stable")[:k]
+                    at.append(np.repeat(asked[None], len(top), axis=0).ravel())
+                    own.append(rows[top].ravel())
+                    like.append(np.take_along_axis(s, top, axis=0).ravel())
+                own = np.concatenate(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), b.column(0).take(pa.array(own)), pa.array(np.concatenate(like))], names=["_i", "_k", SCORE])
+
+        rows = self.rows.where(F.col(CLUSTER).isin(list(wanted))).select(self.key, CLUSTER, prepared(field).alias("_v"))
+        return rows.mapInArrow(run, schema)
+
     def threshold(self, q: Vector, least: float, probes: int | None = None) -> DataFrame:
         """Rows that reach least, in no order, from twice as many lists as topk() looks at."""
         if math.isnan(least):

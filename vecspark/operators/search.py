@@ -7,7 +7,7 @@ rows from each. Order is by similarity, NaN last, then key, so that ties are set
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.metrics import Vector, dot, doubles, literal, norm
+from ..functions.metrics import Vector, doubles, literal, norm, plain_dot
 from ..functions.prepare import half, prepare_query, searchable, sq8_codes, sq8_decoded, sq8_scale, truncated
 from ..plans.schema import VectorField
+from ..plans.session import stored
 
 SCORE = "similarity"
 #: Bytes of query vectors that are held at once by each task of a batch search; more queries are searched in blocks.
@@ -40,7 +41,7 @@ def score(field: VectorField, q: Vector) -> Column:
     """Similarity of a row's vector to q, a query that is prepared."""
     metric, target = field.resolved, literal(q)
     if metric.normalised:  # the query has norm 1, and a zero vector stays zero
-        return F.coalesce(F.try_divide(dot(prepared(field), target), norm(prepared(field))), F.lit(0.0))
+        return F.coalesce(F.try_divide(plain_dot(prepared(field), target), norm(prepared(field))), F.lit(0.0))
     return metric.column(prepared(field), target)
 
 
@@ -117,35 +118,48 @@ def batch_topk(df: DataFrame, key: str, field: VectorField, queries: DataFrame,
     one matrix product a batch, keeps the best k of each query, and hands on k rows a query; a window merges them.
     """
     _positive(k, "k")
+    kind = queries.schema[query_key].dataType
+    return batches_of(queries, query_key, query_vector, field, lambda ids, vectors: merged(_batch(df, key, field, vectors, k), ids, kind, k), df.schema[key].dataType, key)
+
+
+def batches_of(queries: DataFrame, query_key: str, query_vector: str, field: VectorField, run: Callable[[list, list[list[float]]], DataFrame], key_type: T.DataType, key: str) -> DataFrame:
+    """What run gives for the queries: at once, or block by block, with only one block on the driver and broadcast at a
+    time, and its outcome stored."""
     own = queries.select(F.col(query_key).alias("_q"), doubles(F.col(query_vector)).alias("_v")).where(searchable(F.col("_v")))
     per = max(1, QUERY_BLOCK_BYTES // (8 * field.dims))
-    blocks = max(1, -(-own.count() // per))
-    parts = []
+    blocks, parts = max(1, -(-own.count() // per)), []
     for b in range(blocks):
         block = own if blocks == 1 else own.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == b)
         rows = block.orderBy("_q").collect()
         if rows:
-            parts.append(_batch(df, key, field, [r["_q"] for r in rows], [query_of(field, r["_v"]) for r in rows], k))
-    key_type, query_type = df.schema[key].dataType, queries.schema[query_key].dataType
+            part = run([r["_q"] for r in rows], [query_of(field, r["_v"]) for r in rows])
+            parts.append(part if blocks == 1 else stored(part, "batch"))
     if not parts:
-        schema = T.StructType([T.StructField(query_key, query_type), T.StructField(key, key_type), T.StructField(SCORE, T.DoubleType()), T.StructField("rank", T.IntegerType())])
-        return df.sparkSession.createDataFrame([], schema)
+        schema = T.StructType([T.StructField("_q", queries.schema[query_key].dataType), T.StructField("_k", key_type), T.StructField(SCORE, T.DoubleType()), T.StructField("rank", T.IntegerType())])
+        parts = [queries.sparkSession.createDataFrame([], schema)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy(*ordering("_k")))
-    ranked = every.withColumn("rank", rank).where(F.col("rank") <= k)
-    return ranked.select(F.col("_q").alias(query_key), F.col("_k").alias(key), SCORE, "rank")
+    return every.select(F.col("_q").alias(query_key), F.col("_k").alias(key), SCORE, "rank")
+
+
+def merged(found: DataFrame, ids: list, kind: T.DataType, k: int) -> DataFrame:
+    """_q, _k, similarity and rank of the k best for each query, from _i, its place in ids, _k and similarity."""
+    rank = F.row_number().over(Window.partitionBy("_i").orderBy(*ordering("_k")))
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    # as many names as queries of the block, whose size is bounded
+    known = found.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("_i", T.LongType()), T.StructField("_q", kind)]))
+    return ranked.join(F.broadcast(known), "_i").select("_q", "_k", SCORE, "rank")
 
 
-def _batch(df: DataFrame, key: str, field: VectorField, ids: list, vectors: list[list[float]], k: int) -> DataFrame:
+def _batch(df: DataFrame, key: str, field: VectorField, vectors: list[list[float]], k: int) -> DataFrame:
     spark, metric = df.sparkSession, field.resolved
-    held = spark.sparkContext.broadcast((ids, np.array(vectors)))
+    held = spark.sparkContext.broadcast(np.array(vectors))
     dims = field.effective or field.dims
     normal = metric.normalised
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = held.value
+        q = held.value
         best = np.full((len(q), 0), 0.0)
         keys = np.empty((len(q), 0), object)
         step = max(1, min(SCORE_ROWS, SCORE_CELLS // max(1, len(q) * (1 if normal or metric.name in {"dot", "pearson"} else dims))))
@@ -161,7 +175,7 @@ def _batch(df: DataFrame, key: str, field: VectorField, ids: list, vectors: list
                     s = np.divide(m @ q.T, size[:, None], out=np.zeros((len(m), len(q))), where=size[:, None] > 0).T
                 else:
                     s = metric.kernel(m, q).T
-                own = np.array(part.column(0).to_pylist(), object)
+                own = np.array([*part.column(0).to_pylist(), None], object)[:-1]
                 best, keys = np.concatenate([best, s], axis=1), np.concatenate([keys, np.broadcast_to(own, (len(q), len(own)))], axis=1)
                 if best.shape[1] > 2 * k:
                     best, keys = _best(best, keys, k)
@@ -173,14 +187,7 @@ def _batch(df: DataFrame, key: str, field: VectorField, ids: list, vectors: list
 
     schema = T.StructType([T.StructField("_i", T.LongType()), T.StructField("_k", df.schema[key].dataType), T.StructField(SCORE, T.DoubleType())])
     rows = df.where(searchable(F.col(field.name))).select(F.col(key), prepared(field).alias("_v"))
-    found = rows.mapInArrow(run, schema)
-    # as many names as queries of the block, whose size is bounded
-    known = spark.createDataFrame([(i, q) for i, q in enumerate(ids)], T.StructType([T.StructField("_i", T.LongType()), T.StructField("_q", _type_of(ids))]))
-    return found.join(known, "_i")
-
-
-def _type_of(ids: list) -> T.DataType:
-    return T.StringType() if isinstance(ids[0], str) else T.LongType()
+    return rows.mapInArrow(run, schema)
 
 
 def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

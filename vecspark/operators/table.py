@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import Vector
 from ..plans.schema import TableSpec
-from ..plans.session import stored
+from ..plans.session import fresh_path, stored
 from ..sources import exchange
 from ..sources.migrate import Rules
-from ..sources.storage import Store
+from ..sources.storage import RETENTION, Store
 from . import dml, search
 from .hnsw import HnswIndex
 from .ivf import IvfIndex
@@ -34,6 +34,7 @@ class Options:
     save_on_close: bool = False
     cut_every: int = 8
     memory: bool = False
+    retention: float = RETENTION
 
     def __post_init__(self):
         if self.merge_segments <= 0 or self.merge_ratio <= 0 or self.cut_every <= 0:
@@ -51,6 +52,9 @@ class VectorTable:
         self._fresh = self.rows  # since the last save, load or append
         self._dead: DataFrame | None = None
         self._indexes: dict[str, IvfIndex | HnswIndex] = {}
+        self._pending: list[DataFrame] = []  # keys that have changed since the indexes were made
+        self._snapshots: dict[str, str] = {}  # stored indexes that haven't been asked for yet
+        self._held: DataFrame | None = None
         self._changes = 0
 
     # changes
@@ -59,12 +63,24 @@ class VectorTable:
         own = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.spec.schema())
         return dml.conform(self.spec, own)
 
-    def _set(self, rows: DataFrame, fresh: DataFrame) -> None:
+    def _set(self, rows: DataFrame, fresh: DataFrame, keys: DataFrame | None = None) -> None:
+        """keys: those whose rows have changed; None where all may have."""
         self._changes += 1
         if self._changes % self.options.cut_every == 0:
             rows, fresh = stored(rows, self.spec.name), stored(fresh, self.spec.name)
-        self.rows, self._fresh = rows.persist(StorageLevel.MEMORY_AND_DISK) if self.options.memory else rows, fresh
-        self._indexes = {}
+            if keys is not None:
+                keys = stored(keys, f"{self.spec.name}-keys")
+        if self.options.memory:
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            rows.count()  # before what it was made from goes
+            if self._held is not None:
+                self._held.unpersist()
+            self._held = rows
+        self.rows, self._fresh = rows, fresh
+        if keys is None:
+            self._indexes, self._pending, self._snapshots = {}, [], {}
+        elif self._indexes:
+            self._pending.append(keys.select(self.spec.key))
 
     def add(self, row: dict | Row | tuple) -> None:
         self.add_range([row])
@@ -76,7 +92,7 @@ class VectorTable:
         new = self._frame(rows)
         both = dml.add_range(self.rows, new, self.spec.key)
         dml.verify(new)
-        self._set(both, self._fresh.unionByName(new))
+        self._set(both, self._fresh.unionByName(new), new)
 
     def upsert(self, row: dict | Row | tuple) -> None:
         self.upsert_range([row])
@@ -94,10 +110,13 @@ class VectorTable:
             frame = self.spark.createDataFrame(numbered, self.spec.schema().add("_order", "long"))
             new = dml.conform(self.spec, dml.last_of_each(frame, self.spec.key, "_order").drop("_order"))
         else:
-            new = dml.last_of_each(self._frame(rows).withColumn("_order", F.monotonically_increasing_id()), self.spec.key, "_order").drop("_order")
+            # read once: tombstones, rows and fresh rows are to be of the same batch
+            new = dml.last_of_each(dml.read_once(self._frame(rows)), self.spec.key, dml.ORDER).drop(dml.ORDER)
         dml.verify(new)
+        new = stored(new, self.spec.name) if not isinstance(rows, list) else new
         self._bury(new.select(self.spec.key))
-        self._set(dml.upsert_range(self.rows, new, self.spec.key), dml.upsert_range(self._fresh, new, self.spec.key))
+        order = new.withColumn(dml.ORDER, F.lit(0))  # keys differ already
+        self._set(dml.upsert_range(self.rows, order, self.spec.key, dml.ORDER), dml.upsert_range(self._fresh, order, self.spec.key, dml.ORDER), new)
 
     def _bury(self, keys: DataFrame) -> None:
         gone = keys.join(self.rows.select(self.spec.key), self.spec.key, "left_semi")
@@ -105,7 +124,7 @@ class VectorTable:
 
     def remove_keys(self, keys: DataFrame) -> None:
         self._bury(keys.select(self.spec.key))
-        self._set(dml.remove_keys(self.rows, keys, self.spec.key), dml.remove_keys(self._fresh, keys, self.spec.key))
+        self._set(dml.remove_keys(self.rows, keys, self.spec.key), dml.remove_keys(self._fresh, keys, self.spec.key), keys)
 
     def remove_by_key(self, value: object) -> bool:
         """Whether there was such a row."""
@@ -197,15 +216,37 @@ class VectorTable:
         return self._pool.submit(run)
 
     def index(self, field: str) -> IvfIndex | HnswIndex:
-        """Built when it is first asked for after a change."""
+        """The field's index, up to date: as it is, with what has changed since, from a stored one that is reconciled with
+        the rows, or built."""
+        if self._pending:
+            keys = self._pending[0]
+            for k in self._pending[1:]:
+                keys = keys.unionAll(k)
+            keys = stored(keys.distinct(), "pending")
+            self._indexes = {n: i.updated(keys, self.rows) for n, i in self._indexes.items()}
+            self._pending = []
         if field not in self._indexes:
-            from ..plans.session import fresh_path
-
-            own = self.spec.vector(field)
-            path = fresh_path(self.spark, f"{self.spec.name}-{field}")
-            self._indexes[field] = IvfIndex.build(self.rows, self.spec.key, own, path) if own.index.kind == "ivf" else HnswIndex.build(self.rows, self.spec.key, own, path)
+            self._indexes[field] = self._loaded(field) or self._built(field)
         return self._indexes[field]
 
+    def _built(self, field: str) -> IvfIndex | HnswIndex:
+        own = self.spec.vector(field)
+        kind = IvfIndex if own.index.kind == "ivf" else HnswIndex
+        return kind.build(self.rows, self.spec.key, own, fresh_path(self.spark, f"{self.spec.name}-{field}"))
+
+    def _loaded(self, field: str) -> IvfIndex | HnswIndex | None:
+        """A stored index; None if there is none, or one that was made with other parameters."""
+        path, own = self._snapshots.pop(field, None), self.spec.vector(field)
+        if path is None:
+            return None
+        try:
+            if own.index.kind == "ivf":
+                return IvfIndex.load(self.rows, self.spec.key, own, path, fresh_path(self.spark, f"{self.spec.name}-{field}"))
+            return HnswIndex.load(self.spark, self.spec.key, own, path, self.rows.schema[self.spec.key].dataType).reconciled(self.rows)
+        except ValueError as e:
+            warnings.warn(f"{self.spec.name}.{field} is indexed anew: {e}", stacklevel=3)
+            return None
+
 
 @dataclass
 class VectorDatabase:
@@ -235,12 +276,23 @@ class VectorDatabase:
         return Store(self.spark, path or self.path)
 
     def save(self, path: str | None = None) -> None:
-        """All tables anew."""
+        """All tables anew, with the graph indexes and such others as have been made."""
         store = self._store(path)
-        store.save({n: (t.spec, t.rows) for n, t in self.tables.items()})
+        indexes: dict[str, dict[str, str]] = {}
+        for n, t in self.tables.items():
+            for v in t.spec.vectors:
+                if v.index.kind == "hnsw" or v.name in t._indexes:
+                    name, at = store.index_path(n, v.name)
+                    t.index(v.name).save(at)
+                    indexes.setdefault(n, {})[v.name] = name
+        store.save({n: (t.spec, t.rows) for n, t in self.tables.items()}, indexes)
         for t in self.tables.values():
             self._settle(store, t)
 
+    def vacuum(self, path: str | None = None) -> int:
+        """Deletes what replaced states alone need, once they are older than the options' retention."""
+        return self._store(path).vacuum(self.options.retention)
+
     def append(self, path: str | None = None) -> None:
         """What has changed since the last save, load or append: tombstones and new rows."""
         store = self._store(path)
@@ -265,14 +317,19 @@ class VectorDatabase:
             try:
                 if store.crowded(t.spec.name, self.options.merge_segments, self.options.merge_ratio):
                     store.compact(t.spec)
+                    self._settle(store, t)
             except Exception as e:  # what was appended is safe; the next append tries again
                 warnings.warn(f"{t.spec.name} could not be rewritten: {e}", stacklevel=2)
 
     def _settle(self, store: Store, t: VectorTable, rows: DataFrame | None = None) -> None:
-        rows = store.load(t.spec, self.rules.get(t.spec.name)) if rows is None else rows
+        """The table reads what is stored now; indexes that are up to date stay, as their rows are the same."""
+        same = rows is None
+        rows = store.load(t.spec, self.rules.get(t.spec.name)) if same else rows
         empty = self.spark.createDataFrame([], t.spec.schema())
-        t._set(empty if rows is None else rows, empty)
+        t._set(empty if rows is None else rows, empty, empty if same else None)
         t._fresh, t._dead = empty, None
+        if not same:
+            t._snapshots = store.indexes(t.spec)
 
     def load(self, path: str | None = None) -> None:
         """Adds the stored rows; nothing if there is no database. Rows that are in memory already make an error if their
@@ -290,6 +347,10 @@ class VectorDatabase:
         for n, t in self.tables.items():
             {"json": exchange.export_json, "xml": exchange.export_xml}[form](t.rows, f"{path}/{n}")
 
+    def export_document(self, path: str) -> None:
+        """One file with one object of all tables' rows, {table: [rows]}, written by the driver as the rows come."""
+        exchange.export_json_document({n: t.rows for n, t in self.tables.items()}, path)
+
     def import_(self, path: str, form: str = "json") -> None:
         """Merges what export() wrote; tables that aren't there are left alone."""
         from ..sources import files

@@ -54,6 +54,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop(path: str) -> None:
+    """Deletes what was written to a path of fresh_path()."""
+    spark = _made.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release() -> None:
     """Deletes what fresh_path() and stored() have led to; frames that still read it are of no use afterwards. It is
     called when the program ends, and can be called before."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,16 +102,35 @@ def import_json_document(spark: SparkSession, path: str, set_name: str, spec: Ta
     return _inward(rows.select(F.inline(camel(set_name))), spec, renames or {})
 
 
+def export_json_document(tables: dict[str, DataFrame], path: str, base64: bool = True) -> None:
+    """One file that holds one object of sets, {set: [rows]}. The driver writes it, with a partition's rows at a time."""
+    from . import files
+
+    def parts():
+        yield "{"
+        for k, (name, df) in enumerate(tables.items()):
+            yield f"{', ' if k else ''}{json.dumps(camel(name))}: ["
+            out = _outward(df, base64)
+            rows = out.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]), {"ignoreNullFields": "false"}).alias("j"))
+            for i, r in enumerate(rows.toLocalIterator()):
+                yield f"{',' if i else ''}\n{r['j']}"
+            yield "]"
+        yield "}"
+
+    spark = next(iter(tables.values())).sparkSession
+    files.write_lines(spark, path, parts())
+
+
 def export_xml(df: DataFrame, path: str) -> None:
-    """Elements Entity in a root Set; null is an attribute-less empty value, characters that XML lacks go."""
+    """Elements Entity in a root Set; a null has no element, and white space stays as it is. Characters that XML lacks go."""
     rows = _outward(df, True)
     rows = rows.select(*[F.regexp_replace(f.name, _NOT_XML, "").alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in rows.schema])
-    rows.write.mode("overwrite").option("rootTag", "Set").option("rowTag", "Entity").option("nullValue", "\\N").format("xml").save(path)
+    rows.write.mode("overwrite").option("rootTag", "Set").option("rowTag", "Entity").format("xml").save(path)
 
 
 def import_xml(spark: SparkSession, path: str, spec: TableSpec, renames: dict[str, str] | None = None) -> DataFrame:
-    rows = spark.read.format("xml").option("rowTag", "Entity").option("nullValue", "\\N").option("mode", "FAILFAST").schema(_schema(spec, renames or {}, True)).load(path)
-    return _inward(rows, spec, renames or {})
+    options = {"rowTag": "Entity", "mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}
+    return _inward(spark.read.format("xml").options(**options).schema(_schema(spec, renames or {}, True)).load(path), spec, renames or {})
 
 
 def merge_import(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -27,19 +30,69 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside path and renames, so that a reader finds the old text or the new one."""
-    jvm, at, fs = _fs(spark, path)
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    stream = fs.create(beside, True)
+def _put(jvm, fs, at, text: str, overwrite: bool) -> None:
+    stream = fs.create(at, overwrite)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if not fs.rename(beside, at):  # a store whose rename doesn't replace
-        fs.delete(at, False)
-        if not fs.rename(beside, at):
-            raise OSError(f"{path} can't be replaced")
+
+
+_one = threading.Lock()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file that isn't there yet, and whole: it is written beside and renamed, which fails if it is there. Of two
+    writers one has True and the other False."""
+    jvm, at, fs = _fs(spark, path)
+    at = fs.makeQualified(at)
+    beside = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{uuid.uuid4().hex}.tmp")
+    _put(jvm, fs, beside, text, True)
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        with _one:  # on a local disk the check and the renaming are two steps
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(beside, at, none)
+        return True
+    except Py4JJavaError as e:
+        fs.delete(beside, False)
+        kind = e.java_exception.getClass().getSimpleName()
+        if kind == "FileAlreadyExistsException":
+            return False
+        if kind != "UnsupportedFileSystemException":
+            raise
+    try:  # a store without renaming of that kind, in which creating is exclusive
+        _put(jvm, fs, at, text, False)
+        return True
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+
+
+def entries(spark: SparkSession, path: str) -> list[tuple[str, bool, float]]:
+    """Name, whether it is a directory, and the time of the last change in seconds, of what is in a directory; nothing if
+    there is none."""
+    _, at, fs = _fs(spark, path)
+    if not fs.exists(at):
+        return []
+    return sorted((s.getPath().getName(), s.isDirectory(), s.getModificationTime() / 1000) for s in fs.listStatus(at))
+
+
+def write_lines(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """Writes one file from parts, as they come."""
+    _, at, fs = _fs(spark, path)
+    stream = fs.create(at, True)
+    held, size = [], 0
+    try:
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size > 1 << 20:
+                stream.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        stream.write(bytearray("".join(held).encode()))
+    finally:
+        stream.close()
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -50,7 +50,8 @@ def coerced(value: Column, old: T.DataType, new: T.DataType, default: object) ->
     if isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
         return value.cast(new)
     if isinstance(old, T.DayTimeIntervalType) and isinstance(new, T.LongType):  # microseconds
-        return F.coalesce((F.extract(F.lit("DAY"), value) * 86400 * 1_000_000 + F.extract(F.lit("HOUR"), value) * 3600 * 1_000_000 + F.extract(F.lit("MINUTE"), value) * 60 * 1_000_000 + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("long")).cast("long"), fallback)
+        part = lambda unit, seconds: F.extract(F.lit(unit), value).cast("long") * (seconds * 1_000_000)
+        return F.coalesce(part("DAY", 86400) + part("HOUR", 3600) + part("MINUTE", 60) + (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("long"), fallback)
     if isinstance(new, T.StructType) and isinstance(old, (T.TimestampType, T.TimestampNTZType)):
         return F.struct(value.cast("timestamp").alias("ts"), F.lit(0).cast("short").alias("offset_min"))
     if isinstance(old, (T.StructType, T.MapType, T.BinaryType)) or isinstance(new, (T.StructType, T.MapType)):
@@ -79,11 +80,11 @@ def upgrade(spark: SparkSession, source: str, target: str, specs: dict[str, Tabl
     """Rewrites a directory of older layout, one Parquet directory for each stored table name, as a database. specs: the
     declared table of each stored name; a stored, not empty name without one is refused before anything is written."""
     from . import files
-    from .storage import MANIFEST, Store
+    from .storage import Store
 
-    if files.exists(spark, f"{source}/{MANIFEST}"):
+    if Store(spark, source).versions():
         raise ValueError(f"{source} is a database already")
-    if files.exists(spark, f"{target}/{MANIFEST}") and not overwrite:
+    if Store(spark, target).versions() and not overwrite:
         raise FileExistsError(target)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(source)

@@ -1,15 +1,19 @@
-"""A database directory: Parquet segments and tombstones of each table, and a manifest that says which of them count.
+"""A database directory: Parquet segments and tombstones of each table, and manifests that say which of them count.
 
-A change writes new directories and then replaces the manifest, so that a reader sees the old or the new state. Segments
-and tombstones are numbered together; a tombstone, which is by key, takes the rows of earlier segments only. Index tables
-are named in the manifest as well.
+A change writes new directories and then the next manifest, whose number no other writer can take as well; one that comes
+second applies its change to the newer state. The manifest of the highest number holds. Nothing that an older one names is
+deleted before vacuum(), so that whoever reads an older state can go on. Segments and tombstones are numbered together; a
+tombstone, which is by key, takes the rows of earlier segments only. Index tables are named in the manifest as well.
 """
 
 from __future__ import annotations
 
+import copy
 import json
+import time
 import uuid
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +25,11 @@ from . import files
 from .migrate import Rules, migrated
 
 VERSION = 4
-MANIFEST = "_manifest.json"
+MANIFESTS = "_manifests"
+#: How often a change is applied to a newer state, where other writers come first.
+TRIES = 50
+#: Seconds for which a state that has been replaced can still be read.
+RETENTION = 7 * 86400.0
 _SEQ = "_seq"
 
 
@@ -29,6 +37,10 @@ class FormatVersionError(ValueError):
     """The directory is of another version, and has to be migrated first."""
 
 
+class ConflictError(RuntimeError):
+    """Another writer has changed the same table in the meantime."""
+
+
 class UnknownTableError(ValueError):
     """The directory holds a table that isn't declared."""
 
@@ -41,18 +53,33 @@ class Store:
     path: str
     checksums: bool = True
 
-    def manifest(self) -> dict | None:
-        """None if there is no database yet."""
-        at = f"{self.path}/{MANIFEST}"
-        if not files.exists(self.spark, at):
-            return None
-        out = json.loads(files.read_text(self.spark, at))
+    def versions(self) -> list[int]:
+        return [int(n[:-5]) for n, _, _ in files.entries(self.spark, f"{self.path}/{MANIFESTS}") if n.endswith(".json") and n[:-5].isdigit()]
+
+    def _at(self, version: int) -> str:
+        return f"{self.path}/{MANIFESTS}/{version:012d}.json"
+
+    def manifest(self, version: int | None = None) -> dict | None:
+        """The newest, or that of a number; None if there is no database yet."""
+        if version is None:
+            known = self.versions()
+            if not known:
+                return None
+            version = known[-1]
+        out = json.loads(files.read_text(self.spark, self._at(version)))
         if out["version"] != VERSION:
             raise FormatVersionError(f"{self.path} has version {out['version']}; {VERSION} is needed")
         return out
 
-    def _put(self, manifest: dict) -> None:
-        files.write_text(self.spark, f"{self.path}/{MANIFEST}", json.dumps(manifest, indent=1))
+    def _commit(self, change: Callable[[dict], dict]) -> None:
+        """Makes the next manifest from the newest one, and again from a newer one if another writer was first."""
+        for _ in range(TRIES):
+            last = max(self.versions(), default=0)
+            now = self.manifest(last) if last else {"version": VERSION, "tables": {}}
+            text = json.dumps(change(copy.deepcopy(now)) | {"at": time.time()}, indent=1)
+            if files.create_text(self.spark, self._at(last + 1), text):
+                return
+        raise ConflictError(f"{self.path}: other writers were first {TRIES} times")
 
     def _write(self, df: DataFrame, table: str, kind: str) -> dict:
         name = f"{table}/{kind}-{uuid.uuid4().hex}"
@@ -64,27 +91,29 @@ class Store:
         rows = self.spark.read.format("binaryFile").load(f"{self.path}/{name}").where("path LIKE '%.parquet'").select(F.crc32("content").alias("c"), F.element_at(F.split("path", "/"), -1).alias("p"))
         return rows.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("p", "c")))), 256)).first()[0] or ""
 
+    def _entry(self, spec: TableSpec, df: DataFrame, indexes: dict[str, str] | None = None) -> dict:
+        return {"key": spec.key, "schema": spec.schema().json(), "next": 1, "segments": [{"seq": 0, **self._write(df, spec.name, "rows")}], "dead": [], "indexes": indexes or {}}
+
     def save(self, tables: dict[str, tuple[TableSpec, DataFrame]], indexes: dict[str, dict[str, str]] | None = None) -> None:
-        """Replaces the database by one segment of each table; tombstones go, and so do directories of the state before."""
-        old = self.manifest()
-        entries = {name: {"key": spec.key, "schema": spec.schema().json(), "next": 1, "segments": [{"seq": 0, **self._write(df, name, "rows")}], "dead": [], "indexes": (indexes or {}).get(name, {})} for name, (spec, df) in tables.items()}
-        kept = {n: t for n, t in (old or {"tables": {}})["tables"].items() if n not in tables and n not in {a for s, _ in tables.values() for a in s.aliases}}
-        self._put({"version": VERSION, "tables": kept | entries})
-        for name, table in (old or {"tables": {}})["tables"].items():
-            for s in [*table["segments"], *table["dead"]] if name not in kept else []:
-                files.delete(self.spark, f"{self.path}/{s['path']}")
+        """Replaces the tables by one segment of each; tombstones go. indexes: directories of index tables, by table and
+        vector field."""
+        entries = {name: self._entry(spec, df, (indexes or {}).get(name)) for name, (spec, df) in tables.items()}
+        gone = {*tables, *(a for s, _ in tables.values() for a in s.aliases)}
+        self._commit(lambda m: m | {"tables": {n: t for n, t in m["tables"].items() if n not in gone} | entries})
 
     def append(self, spec: TableSpec, rows: DataFrame | None, dead: DataFrame | None) -> None:
         """Adds tombstones for the keys in dead, and then a segment of rows."""
-        manifest = self.manifest() or {"version": VERSION, "tables": {}}
-        table = manifest["tables"].setdefault(spec.name, {"key": spec.key, "schema": spec.schema().json(), "next": 0, "segments": [], "dead": [], "indexes": {}})
-        for df, kind in ((dead, "dead"), (rows, "rows")):
-            if df is not None:
-                part = self._write(df.select(spec.key).distinct() if kind == "dead" else df, spec.name, kind)
+        parts = [(kind, self._write(df.select(spec.key).distinct() if kind == "dead" else df, spec.name, kind)) for df, kind in ((dead, "dead"), (rows, "rows")) if df is not None]
+
+        def change(m: dict) -> dict:
+            table = m["tables"].setdefault(spec.name, {"key": spec.key, "schema": spec.schema().json(), "next": 0, "segments": [], "dead": [], "indexes": {}})
+            for kind, part in parts:
                 if part["rows"]:
                     table["dead" if kind == "dead" else "segments"].append({"seq": table["next"], **part})
                     table["next"] += 1
-        self._put(manifest)
+            return m
+
+        self._commit(change)
 
     def crowded(self, name: str, segments: int = 32, ratio: float = 0.25) -> bool:
         """Whether a table has so many segments, or so many tombstones for each live row, that it should be rewritten."""
@@ -95,9 +124,45 @@ class Store:
         return len(table["segments"]) >= segments or (dead > 0 and dead / max(1, rows - dead) >= ratio)
 
     def compact(self, spec: TableSpec) -> None:
-        rows = self.load(spec)
-        if rows is not None:
-            self.save({spec.name: (spec, rows)})
+        """Rewrites a table as one segment; its indexes stay. An error, and no change, if it is changed meanwhile."""
+        before = self.manifest()
+        rows = self.load(spec, manifest=before)
+        if rows is None:
+            return
+        names = [n for n in (spec.name, *spec.aliases) if n in before["tables"]]
+        entry = self._entry(spec, rows, before["tables"][names[0]].get("indexes"))
+
+        def change(m: dict) -> dict:
+            if any(m["tables"].get(n) != before["tables"][n] for n in names):
+                raise ConflictError(f"{spec.name} was changed while it was rewritten")
+            return m | {"tables": {n: t for n, t in m["tables"].items() if n not in names} | {spec.name: entry}}
+
+        self._commit(change)
+
+    def vacuum(self, retention: float = RETENTION) -> int:
+        """Deletes states that were replaced more than retention seconds ago, and directories as old that no other state
+        names; gives the number of these."""
+        now, known = time.time(), self.versions()
+        states = {v: json.loads(files.read_text(self.spark, self._at(v))) for v in known}
+        ends = {v: states[w]["at"] for v, w in zip(known, known[1:], strict=False)}
+        old = [v for v in known if v in ends and ends[v] <= now - retention]
+        named = {p for v in known if v not in old for t in states[v]["tables"].values() for p in (*(s["path"] for s in (*t["segments"], *t["dead"])), *t["indexes"].values())}
+        for v in old:
+            files.delete(self.spark, self._at(v))
+        gone = [f"{table}/{n}" for table, is_dir, _ in files.entries(self.spark, self.path) if is_dir and table != MANIFESTS for n, _, at in files.entries(self.spark, f"{self.path}/{table}") if f"{table}/{n}" not in named and at <= now - retention]
+        for name in gone:
+            files.delete(self.spark, f"{self.path}/{name}")
+        return len(gone)
+
+    def index_path(self, table: str, field: str) -> tuple[str, str]:
+        """A name for a new index table, and where it is."""
+        name = f"{table}/index-{field}-{uuid.uuid4().hex}"
+        return name, f"{self.path}/{name}"
+
+    def indexes(self, spec: TableSpec) -> dict[str, str]:
+        """Where the stored indexes of a table's vector fields are."""
+        tables = (self.manifest() or {"tables": {}})["tables"]
+        return {f: f"{self.path}/{p}" for n in (spec.name, *spec.aliases) if n in tables for f, p in tables[n].get("indexes", {}).items()}
 
     def check_tables(self, specs: list[TableSpec], unknown: str = "warn") -> list[str]:
         """Names of stored, not empty tables that aren't declared; unknown: ignore, warn or throw."""
@@ -111,10 +176,10 @@ class Store:
             warnings.warn(f"{self.path} holds {', '.join(found)}, which isn't declared", stacklevel=2)
         return found
 
-    def load(self, spec: TableSpec, rules: Rules | None = None) -> DataFrame | None:
+    def load(self, spec: TableSpec, rules: Rules | None = None, manifest: dict | None = None) -> DataFrame | None:
         """The live rows of a table, stored under its name or an alias, in the declared schema; None if there are none
-        stored."""
-        tables = (self.manifest() or {"tables": {}})["tables"]
+        stored. manifest: an older state, of manifest(version)."""
+        tables = (manifest or self.manifest() or {"tables": {}})["tables"]
         parts = [self._live(tables[n]) for n in (spec.name, *spec.aliases) if n in tables and tables[n]["segments"]]
         if not parts:
             return None
@@ -179,4 +244,4 @@ def merge_stores(spark: SparkSession, sources: list[str], target: str, specs: li
         rows = merge(dfs, keys[name][0], policy if name in by_name else "append")
         schema = by_name[name].schema().json() if name in by_name else keys[name][1]
         entries[name] = {"key": keys[name][0], "schema": schema, "next": 1, "segments": [{"seq": 0, **out._write(rows, name, "rows")}], "dead": [], "indexes": {}}
-    out._put({"version": VERSION, "tables": entries})
+    out._commit(lambda m: m | {"tables": entries})
