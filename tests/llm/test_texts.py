@@ -6,12 +6,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vecspark.llm import decontaminate, lines, quality, simhash, substring
-from vecspark.llm._text import Sequences, sliding_min
+from vecspark.llm._text import SPACE, Sequences, bounds, sliding_min, word_hashes
 from vecspark.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -50,8 +51,10 @@ def brute_substring(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size,run,chunk_bytes", [(5, 2, 200), (7, 7, 1 << 20), (6, 1, 2000)])
-def test_substring_dedup(spark, size, run, chunk_bytes):
+@pytest.mark.parametrize("size,run,chunk_bytes,share", [(5, 2, 200, 32), (7, 7, 1 << 20, 1), (6, 1, 2000, 32), (6, 3, 300, 1)])
+def test_substring_dedup(spark, monkeypatch, size, run, chunk_bytes, share):
+    monkeypatch.setattr(substring, "SHARE", share)
+    monkeypatch.setattr(substring, "LEAST", 2)
     rng = random.Random(size)
     base = ["".join(rng.choice("abü") for _ in range(rng.randint(1, 2))) for _ in range(40)]
     rows = [(None, "a b a b a b a b"), (3, None), (4, ""), (5, "a"), (6, " \n\t "), (7, "x" * 3000)]
@@ -66,6 +69,22 @@ def test_substring_dedup(spark, size, run, chunk_bytes):
     assert sorted((tuple(r) for r in got), key=str) == brute_substring(rows, size)
 
 
+def test_a_common_passage_fills_no_bucket():
+    """Of strings with a passage in all documents, few different ones go to a bucket."""
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"{k}a{i}" for i in range(60)] + passage + [f"{k}b{i}" for i in range(60)]) for k in range(300)]
+    table = pa.table({"doc_id": list(range(300)), "text": texts, "chunk": [0] * 300})
+    runs = np.unique(Sequences(word_hashes(*_spans(" ".join(passage)))).windows(8))
+    most = [max(sum(len(t) for t, _ in own) for own in substring._Chunk(table, 50, 8, 500, substring.Common(known)).sent.values()) for known in (runs, runs[:0])]
+    assert most[0] < 30_000 and most[1] > 100_000 and rng
+
+
+def _spans(text):
+    buf = np.frombuffer(text.encode(), np.uint8)
+    return buf, *bounds(~SPACE[buf])
+
+
 def test_substring_edges(spark):
     assert substring.dedup(frame(spark, [])).collect() == []
     wide = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, chunk int, bucket int")
@@ -140,6 +159,15 @@ def test_line_dedup_edges(spark):
     wide = spark.createDataFrame([("k", 2, "a b c d e f g h\nz", 7), ("j", 1, "a b c d e f g h", 8), ("j", 1, "a b c d e f g h", 8)], "kind string, doc_id int, text string, chunk int")
     got = sorted(map(tuple, lines.dedup_lines(wide).collect()))
     assert got == [("j", 1, "a b c d e f g h", 8, 1, 0, 0)] * 2 + [("k", 2, "z", 7, 2, 1, 0)]
+    line = "one two three four five six seven eight nine"
+    rows = [(1, line), (None, line + "\n"), (None, None), *((k, line.replace("five", f"x{k}") + f"\n{k}") for k in range(2, 60))]
+    odd = spark.createDataFrame([(*r, 1, "b") for r in rows], "doc_id long, text string, _n_removed int, asked_by string")
+    got = {tuple(r)[:2]: tuple(r)[4:] for r in lines.dedup_lines(odd, chunk_bytes=300, bucket_bytes=300).collect()}
+    assert got.pop((None, line + "\n")) == (2, 0, 0) and got.pop((None, None)) == (0, 0, 0) and got.pop((1, line)) == (1, 0, 0)
+    assert got == {(k, str(k)): (2, 1, 1) for k in range(2, 60)}
+    long_text = "\n".join(f"{line} {i}" for i in range(60_000))
+    r = lines.dedup_lines(frame(spark, [(2, long_text), (1, f"{line} 59999")])).where("doc_id = 2").first()
+    assert (r["_n_lines"], r["_n_removed"], r["_n_near"]) == (60_000, 60_000, 59_999)
 
 
 @settings(deadline=None, max_examples=200)

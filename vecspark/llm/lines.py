@@ -12,8 +12,9 @@ is a half of the other as well, so lines whose half hashes no other line has are
 nothing.
 
 Documents are dealt to chunks by a hash of doc_id; keys travel in one compressed row for each pair of chunk and bucket,
-each key once for each chunk, with its earliest line. A chunk asks for the text of each partner once. All passes read
-the documents from one exchange.
+each key once for each chunk, with its earliest line. A chunk asks for the text of each partner once, and keeps the places
+of its own lines that it asks for, so that a line that very many are near costs a row for each chunk. All passes read the
+documents from one exchange.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import stored
 from ._text import SPACE, U64, Sequences, as_bytes, bounds, mix, powers, word_hashes
 
 #: Words of a line that can be removed, and of one that is compared within one edit, at least.
@@ -34,11 +36,11 @@ CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 _EXACT = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 _HALF = np.dtype([("key", "<u8"), ("tag", "<u8"), ("many", "u1")])
 _VARIANT = np.dtype([("a", "<u8"), ("b", "<u8"), ("at", "<i4"), ("doc", "<i8"), ("line", "<i4")])
-_PLACE = np.dtype([("doc", "<i8"), ("line", "<i4")])
+_NEAR = np.dtype([("doc", "<i8"), ("line", "<i4"), ("to_doc", "<i8"), ("to_line", "<i4")])
 _REPLY = "chunk long, kind int, data binary"
 _NAMES = ["chunk", "kind", "data"]
 _TYPES = [pa.int64(), pa.int32(), pa.binary()]
-_FIRST, _SHARED, _PARTNER, _TEXT = range(4)
+_FIRST, _SHARED, _PARTNER, _TEXT, _NEARS = range(5)
 
 
 def _squeeze(rows: np.ndarray) -> bytes:
@@ -191,7 +193,7 @@ class _Chunk:
 
 
 def _by_kind(table: pa.Table) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {k: [] for k in range(4)}
+    out: dict[int, list[bytes]] = {k: [] for k in range(5)}
     for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
         out[kind].append(data)
     return out
@@ -306,7 +308,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
     size = rows.agg(F.sum(F.octet_length(t))).first()[0] or 0
     chunks, buckets = max(8, -(-size // chunk_bytes)), max(8, -(-size // bucket_bytes))
     dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks))
-    rows = rows.withColumn("chunk", dealt(F.coalesce(d, F.xxhash64(t))))
+    breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    counts = (F.when(F.col(t).isNull(), 0).otherwise(breaks), F.lit(0), F.lit(0))
+    unnamed = rows.where(F.col(d).isNull()).select("*", *[c.cast("long").alias(n) for c, n in zip(counts, ("_n_lines", "_n_removed", "_n_near"), strict=True)])
+    rows = rows.where(F.col(d).isNotNull()).withColumn("chunk", dealt(d))
     by_chunk = lambda: rows.groupBy("chunk")
 
     def send(table: pa.Table) -> pa.Table:
@@ -327,27 +332,29 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
         return _messages(chunk.number, own, own["a"], buckets, _PARTNER)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        """A row for each line that is the earliest partner of lines here, with their places."""
+        """A row for each line that is the earliest partner of lines here; and one of those lines and their partners,
+        which stays with the chunk."""
         doc, line, to_doc, to_line = _partners(_Chunk(left, d, t), _by_kind(right)) if left.num_rows else [np.empty(0, np.int64)] * 4
-        order = np.lexsort((to_line, to_doc))
-        rows = np.empty(len(order), _PLACE)
-        rows["doc"], rows["line"] = doc[order], line[order]
-        at = _heads(to_doc[order], to_line[order])
-        data = [p.tobytes() for p in np.split(rows, at[1:])] if len(rows) else []
+        order = np.lexsort((line, doc, to_line, to_doc))
+        near = np.empty(len(order), _NEAR)
+        for name, values in zip(_NEAR.names, (doc, line, to_doc, to_line), strict=True):
+            near[name] = values[order]
+        at = _heads(near["to_doc"], near["to_line"])
         own = left["chunk"][0].as_py() if left.num_rows else 0
-        return pa.table({"asked_by": pa.array([own] * len(at), pa.int64()), "to_doc": pa.array(to_doc[order][at], pa.int64()), "to_line": pa.array(to_line[order][at].astype(np.int64), pa.int64()), "data": pa.array(data, pa.binary())})
+        n, some = len(at), int(len(near) > 0)
+        return pa.table({"chunk": pa.array([own] * (n + some), pa.int64()), "kind": pa.array([_TEXT] * n + [_NEARS] * some, pa.int32()), "to_doc": pa.array([*near["to_doc"][at].tolist(), *[None] * some], pa.int64()), "to_line": pa.array([*near["to_line"][at].tolist(), *[None] * some], pa.int64()), "data": pa.array([*[None] * n, *[_squeeze(near)] * some], pa.binary())})
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The texts of the lines that are asked for, to those who ask."""
+        """The texts of the lines that are asked for, after their places, to those who ask."""
         out = []
         if left.num_rows and right.num_rows:
             chunk, rows_of = _Chunk(left, d, t, hashed=False), {}
             for k, doc in enumerate(chunk.doc_ids):
                 rows_of.setdefault(doc, []).append(k)
-            for by, doc, line, data in zip(*(right[c].to_pylist() for c in ("asked_by", "to_doc", "to_line", "data")), strict=True):
+            for by, doc, line in zip(*(right[c].to_pylist() for c in ("asked_by", "to_doc", "to_line")), strict=True):
                 for k in rows_of.get(doc, []):
                     if (i := int(chunk.begin[k]) + line) < chunk.begin[k + 1]:
-                        out.append((by, _TEXT, len(data).to_bytes(8, "little") + data + chunk.line(i)))
+                        out.append((by, _TEXT, doc.to_bytes(8, "little", signed=True) + line.to_bytes(8, "little") + chunk.line(i)))
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
@@ -366,14 +373,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
         rows_of: dict[int, list[int]] = {}
         for k, doc in enumerate(chunk.doc_ids):
             rows_of.setdefault(doc, []).append(k)
+        partner: dict[tuple[int, int], list[list[bytes]]] = {}
         for data in said[_TEXT]:
-            n = int.from_bytes(data[:8], "little")
-            other = data[8 + n :].split()
-            for doc, line in np.frombuffer(data, _PLACE, n // _PLACE.itemsize, 8).tolist():
+            to = int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:16], "little")
+            partner.setdefault(to, []).append(data[16:].split())
+        for data in said[_NEARS]:
+            for doc, line, *to in _open(data, _NEAR).tolist():
                 for k in rows_of.get(doc, []):
                     i = int(chunk.begin[k]) + line
-                    if i < chunk.begin[k + 1] and chunk.words[i] >= NEAR_WORDS and within_one_edit(chunk.line(i).split(), other):
-                        close[i] |= not gone[i]
+                    if i < chunk.begin[k + 1] and not gone[i] and chunk.words[i] >= NEAR_WORDS:
+                        own = chunk.line(i).split()
+                        close[i] |= any(within_one_edit(own, other) for other in partner.get(tuple(to), []))
         texts, total, near_total = [], np.concatenate([[0], np.cumsum(gone | close)]), np.concatenate([[0], np.cumsum(close)])
         for text_, s, e in zip(chunk.texts, chunk.begin[:-1].tolist(), chunk.begin[1:].tolist(), strict=True):
             if text_ and total[e] > total[s]:
@@ -390,9 +400,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
     if near:
         keys = by_chunk().cogroup(settled.groupBy("chunk")).applyInArrow(send_variants, _SENT)
         partners = keys.groupBy("bucket").applyInArrow(_join, _REPLY)
-        asked = by_chunk().cogroup(settled.unionAll(partners).groupBy("chunk")).applyInArrow(ask, "asked_by long, to_doc long, to_line long, data binary")
-        asked = asked.withColumn("chunk", dealt("to_doc"))
-        heard = settled.unionAll(by_chunk().cogroup(asked.groupBy("chunk")).applyInArrow(tell, _REPLY))
+        asked = by_chunk().cogroup(settled.unionAll(partners).groupBy("chunk")).applyInArrow(ask, "chunk long, kind int, to_doc long, to_line long, data binary")
+        asked = stored(asked, "asked")
+        wanted = asked.where(F.col("kind") == _TEXT).select(F.col("chunk").alias("asked_by"), "to_doc", "to_line", dealt("to_doc").alias("chunk"))
+        told = by_chunk().cogroup(wanted.groupBy("chunk")).applyInArrow(tell, _REPLY)
+        heard = settled.unionAll(told).unionAll(asked.where(F.col("kind") == _NEARS).select(*_NAMES))
     new = "_n_lines long, _n_removed long, _n_near long"
     out = by_chunk().cogroup(heard.groupBy("chunk")).applyInArrow(remove, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("chunk").schema) + f", {new}")
-    return out.toDF(*names, "_n_lines", "_n_removed", "_n_near")
+    return out.unionAll(unnamed).toDF(*names, "_n_lines", "_n_removed", "_n_near")

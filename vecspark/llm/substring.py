@@ -1,13 +1,17 @@
 """Exact substring dedup by super-k-mer partitioning.
 
-Documents are dealt to chunks by a hash of doc_id. In a chunk every window of 50 words gets a minimiser, the least hash
-of the runs of 8 words in it; consecutive windows that share it travel as one packed string, a super-k-mer, to the
+Documents are dealt to chunks by a hash of doc_id and text. In a chunk every window of 50 words gets a minimiser, the
+least hash of the runs of 8 words in it, where runs that a sample shows to be in very many documents come after all
+others: a window that a common passage fills in part goes by what else is in it, so that the bucket of a run of the
+passage gets the windows inside the passage alone, which are few different ones. Consecutive windows that share it travel as one packed string, a super-k-mer, to the
 minimiser's bucket. Equal windows have equal minimisers, so that they meet in one bucket, where sorting counts them; the
 words of those that meet are compared. A chunk sends each different super-k-mer once, with its smallest doc_id, so that
 a passage that many documents share reaches its bucket once for each chunk. The bucket answers each chunk with the
 smallest doc_id of the windows that occur elsewhere; the chunk, whose documents are read once more from the same
 exchange, removes the words of windows that start in a document with a smaller doc_id.
 
+The sample decides which bucket a window goes to, and nothing else: equal windows have the same runs.
+
 Packed strings travel in one compressed row for each pair of chunk and bucket. The numbers of chunks and buckets follow
 the size of the texts.
 """
@@ -15,6 +19,7 @@ the size of the texts.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +27,39 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import SPACE, U64, Sequences, as_bytes, bounds, covered, pick, sliding_min, word_hashes
+from ._text import SPACE, U64, Sequences, as_bytes, bounds, covered, pick, pieces, sliding_min, word_hashes
 
 WINDOW, RUN = 50, 8
 #: Bytes of text of a chunk, and of packed strings of a bucket, about.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 #: Bytes of packed strings for each byte of text, about; it only sets the number of buckets.
 GROWTH = 3
+#: The sample that shows which runs are common: one of SHARE documents, and of a larger corpus about SAMPLE_BYTES of
+#: text. A run is common from LEAST documents on whose strings would be a quarter of a bucket; MOST are kept.
+SHARE, SAMPLE_BYTES, LEAST, MOST = 32, 4 << 30, 3, 1_000_000
 _NONE = np.iinfo(np.int64).max
 
 
+class Common:
+    """Hashes of common runs."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.mask = U64((1 << max(10, (8 * len(hashes)).bit_length())) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)
+        self.maybe[(self.hashes & self.mask).astype(np.int64)] = True
+
+    def last(self, hashes: np.ndarray) -> np.ndarray:
+        """The same, so changed that common ones are larger than all others."""
+        out = hashes >> U64(1)
+        on = np.flatnonzero(self.maybe[(hashes & self.mask).astype(np.int64)])
+        if len(on):
+            place = np.minimum(np.searchsorted(self.hashes, hashes[on]), len(self.hashes) - 1)
+            on = on[self.hashes[place] == hashes[on]]
+            out[on] |= U64(1 << 63)
+        return out
+
+
 def _squeeze(data: bytes, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
@@ -43,7 +71,7 @@ def _open(data: bytes) -> bytes:
 class _Chunk:
     """Words of a chunk's documents, in order of doc_id and text, as spans of one buffer of words joined by a blank."""
 
-    def __init__(self, table: pa.Table, window: int, run: int, buckets: int):
+    def __init__(self, table: pa.Table, window: int, run: int, buckets: int, common: Common):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.doc_ids = table["doc_id"].to_pylist()
         self.texts = [b" ".join(t.split()) if t else b"" for t in as_bytes(table["text"].combine_chunks())]
@@ -53,7 +81,7 @@ class _Chunk:
         at = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in self.texts])]).astype(np.int64))
         self.first, self.last = at[:-1], at[1:]
         self.owner = np.repeat(np.arange(len(self.texts)), self.last - self.first)
-        self.window = window
+        self.window, self.common = window, common
         self._super_kmers(word_hashes(buf, self.starts, self.ends), run, buckets)
 
     def _super_kmers(self, hashes: np.ndarray, run: int, buckets: int) -> None:
@@ -65,7 +93,7 @@ class _Chunk:
         known = np.array([d is not None for d in self.doc_ids], bool)
         if n < window:
             return
-        least = sliding_min(Sequences(hashes).windows(run), window - run + 1)
+        least = sliding_min(self.common.last(Sequences(hashes).windows(run)), window - run + 1)
         inside = (self.owner[: n - window + 1] == self.owner[window - 1 :]) & known[self.owner[: n - window + 1]]
         new = np.concatenate([[True], (least[1:] != least[:-1]) | ~inside[:-1]])  # between documents no window is inside
         heads = np.flatnonzero(new & inside)
@@ -114,9 +142,29 @@ class _Chunk:
 _ROW = np.dtype([("entry", "<i4"), ("window", "<i4"), ("doc", "<i8")])
 
 
-def _send(window: int, run: int, buckets: int):
+def common_runs(rows: DataFrame, window: int, run: int, size: int, bucket_bytes: int) -> Common:
+    """The common runs of rows (doc_id, text), which have size bytes of text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = [np.empty(0, U64)]
+            for text in as_bytes(batch.column(0)):
+                buf = np.frombuffer(text or b"", np.uint8)
+                starts, ends = bounds(~SPACE[buf])
+                if len(starts) >= window:  # fewer words have no window
+                    found.append(np.unique(Sequences(word_hashes(buf, starts, ends)).windows(run)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["run"])
+
+    one_of = max(SHARE, -(-size // SAMPLE_BYTES))
+    least = max(LEAST, bucket_bytes // (4 * 8 * window) // one_of)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(one_of)) == 0).select("text")
+    counts = sample.mapInArrow(each, "run long").groupBy("run").count().where(F.col("count") >= least)
+    return Common(counts.orderBy(F.desc("count"), "run").limit(MOST).toArrow()["run"].to_numpy().view(np.uint64))
+
+
+def _send(window: int, run: int, buckets: int, common):
     def each(table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, window, run, buckets)
+        chunk = _Chunk(table, window, run, buckets, common.value)
         names = sorted(chunk.sent)
         return pa.table({"bucket": pa.array(names, pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(names), pa.int64()), "data": pa.array([chunk.message(b) for b in names], pa.binary())})
 
@@ -193,11 +241,23 @@ def _count(window: int):
     return each
 
 
-def _remove(window: int, run: int, buckets: int, keep_text: bool):
+def _whole(keep_text: bool):
+    """Rows without a doc_id, as they are."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = [b" ".join(t.split()) if t else b"" for t in as_bytes(batch.column(1))]
+            counts = [t.count(b" ") + 1 if t else 0 for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() if keep_text else None for t in texts], pa.string())], schema=_OUT)
+
+    return each
+
+
+def _remove(window: int, run: int, buckets: int, keep_text: bool, common):
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _OUT.empty_table()
-        chunk = _Chunk(left, window, run, buckets)
+        chunk = _Chunk(left, window, run, buckets, common.value)
         gone = chunk.removed({b: np.frombuffer(_open(r), _ROW) for b, r in zip(right["bucket"].to_pylist(), right["rows"].to_pylist(), strict=True)})
         words, removed, digests, texts = [], [], [], []
         total = np.concatenate([[0], np.cumsum(gone)])
@@ -230,7 +290,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, keep_text: bool
     rows = pick(docs, doc_id="long", text="string")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(8, -(-size // chunk_bytes)), max(16, -(-GROWTH * size // bucket_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)))
-    sent = rows.groupBy("chunk").applyInArrow(_send(window, run, buckets), "bucket long, chunk long, data binary")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    unnamed, rows = rows.where("doc_id is null"), rows.where("doc_id is not null")
+    common = rows.sparkSession.sparkContext.broadcast(common_runs(rows, window, run, size, bucket_bytes))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    sent = rows.groupBy("chunk").applyInArrow(_send(window, run, buckets, common), "bucket long, chunk long, data binary")
     answers = sent.groupBy("bucket").applyInArrow(_count(window), "chunk long, bucket long, rows binary")
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, run, buckets, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, run, buckets, keep_text, common), schema)
+    return out.unionByName(unnamed.mapInArrow(_whole(keep_text), schema))
