@@ -10,9 +10,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vecspark.llm import decontaminate, lines, quality, simhash, substring
-from vecspark.llm._text import SPACE, Sequences, bounds, sliding_min, word_hashes
+from vecspark.llm._text import SPACE, Sequences, bounds, even_keys, key_of, sliding_min, spark_hash, word_hashes
 from vecspark.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -33,6 +34,18 @@ def test_hash_helpers():
     assert (a.runs(np.arange(17), np.arange(17) + 4) == w).all()
 
 
+def test_keys_are_dealt_evenly(spark):
+    x = np.array([0, 1, -1, 42, 2**40 + 7, -(2**62)])
+    assert spark_hash(x).tolist() == [r[0] for r in spark.createDataFrame([(int(i),) for i in x], "x long").selectExpr("hash(x)").collect()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n in (1, parts, 3 * parts - 1):
+        keys = even_keys(spark, n)
+        assert len(set(keys.tolist())) == len(keys) == (n if n <= parts else 3 * parts)
+        got = spark.range(len(keys)).select(key_of(F.col("id"), keys).alias("k"))
+        assert [r["k"] for r in got.collect()] == keys.tolist()
+        assert Counter(r[0] for r in got.selectExpr(f"pmod(hash(k), {parts})").collect()).most_common(1)[0][1] == -(-n // parts)
+
+
 # substring dedup
 
 
@@ -76,7 +89,7 @@ def test_a_common_passage_fills_no_bucket():
     texts = [" ".join([f"{k}a{i}" for i in range(60)] + passage + [f"{k}b{i}" for i in range(60)]) for k in range(300)]
     table = pa.table({"doc_id": list(range(300)), "text": texts, "chunk": [0] * 300})
     runs = np.unique(Sequences(word_hashes(*_spans(" ".join(passage)))).windows(8))
-    most = [max(sum(len(t) for t, _ in own) for own in substring._Chunk(table, 50, 8, 500, substring.Common(known)).sent.values()) for known in (runs, runs[:0])]
+    most = [max(sum(len(t) for t, _ in own) for own in substring._Chunk(table, 50, 8, np.arange(500), substring.Common(known)).sent.values()) for known in (runs, runs[:0])]
     assert most[0] < 30_000 and most[1] > 100_000 and rng
 
 

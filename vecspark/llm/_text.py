@@ -145,6 +145,54 @@ def pick(docs, **kinds: str):
     return inner.select(*[F.col(f"_c{names.index(name)}").cast(kind).alias(name) for name, kind in kinds.items()])
 
 
+#: Keys that are chosen, at most; more are so many for each partition that they need no choice.
+EVEN_KEYS = 1 << 17
+
+
+def even_keys(spark, n: int) -> np.ndarray:
+    """n keys, or up to the next multiple of the shuffle's partitions if there are more of them, that a shuffle by key
+    deals evenly: equally many come to each partition. Of keys 0 .. n - 1 some partitions would get several times the
+    mean."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n > parts:
+        n = -(-n // parts) * parts
+    if n > EVEN_KEYS or parts > EVEN_KEYS:
+        return np.arange(n)
+    wanted, size = -(-n // parts), 2 * n + 64 * parts
+    while True:
+        keys = np.arange(size)
+        part = spark_hash(keys).astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        count = np.bincount(part, minlength=parts)
+        if count.min() >= wanted:
+            place = np.concatenate([[0], np.cumsum(count)[:-1]])
+            index = np.arange(n)
+            return keys[order][place[index % parts] + index // parts]
+        size *= 2
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash() of a long each, by which it partitions: Murmur3 (32 bits) of two words, seed 42."""
+    c1, c2, five, plus = (np.uint32(v) for v in (0xCC9E2D51, 0x1B873593, 5, 0xE6546B64))
+    turn = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    words, h = np.asarray(x, np.int64).view(np.uint64), np.full(len(x), 42, np.uint32)
+    for k in ((words & U64(0xFFFFFFFF)).astype(np.uint32), (words >> U64(32)).astype(np.uint32)):
+        h = turn(h ^ (turn(k * c1, 15) * c2), 13) * five + plus
+    h ^= np.uint32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    return h.view(np.int32)
+
+
+def key_of(index, keys: np.ndarray):
+    """The key at a column's place in keys."""
+    from pyspark.sql import functions as F
+
+    if (keys == np.arange(len(keys))).all():
+        return index.cast("long")
+    return F.element_at(F.split(F.lit(",".join(map(str, keys.tolist()))), ",").cast("array<bigint>"), (index + 1).cast("int"))
+
+
 def appended(docs, text: str, run, fields: dict[str, str]):
     """docs with columns appended by run(texts, own columns of the batch) -> arrays in the order of fields.
 

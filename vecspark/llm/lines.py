@@ -26,8 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import stored
-from ._text import SPACE, U64, Sequences, as_bytes, bounds, mix, powers, word_hashes
+from ._text import SPACE, U64, Sequences, as_bytes, bounds, even_keys, key_of, mix, powers, word_hashes
 
 #: Words of a line that can be removed, and of one that is compared within one edit, at least.
 LINE_WORDS, NEAR_WORDS = 5, 8
@@ -60,9 +59,9 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _messages(chunk: int, rows: np.ndarray, by: np.ndarray, buckets: int, kind: int) -> pa.Table:
+def _messages(chunk: int, rows: np.ndarray, by: np.ndarray, buckets: np.ndarray, kind: int) -> pa.Table:
     """rows in one message for each bucket of by."""
-    bucket = (by % U64(buckets)).astype(np.int64)
+    bucket = buckets[(by % U64(len(buckets))).astype(np.int64)]
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     at = _heads(bucket)
@@ -306,8 +305,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
     d, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn(t, F.col(t).cast("string")).withColumn(d, F.col(d).cast("long"))
     size = rows.agg(F.sum(F.octet_length(t))).first()[0] or 0
-    chunks, buckets = max(8, -(-size // chunk_bytes)), max(8, -(-size // bucket_bytes))
-    dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks))
+    chunks, buckets = (even_keys(docs.sparkSession, max(8, -(-size // b))) for b in (chunk_bytes, bucket_bytes))
+    dealt = lambda c: key_of(F.pmod(F.xxhash64(c), F.lit(len(chunks))), chunks)
     breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
     counts = (F.when(F.col(t).isNull(), 0).otherwise(breaks), F.lit(0), F.lit(0))
     unnamed = rows.where(F.col(d).isNull()).select("*", *[c.cast("long").alias(n) for c, n in zip(counts, ("_n_lines", "_n_removed", "_n_near"), strict=True)])
@@ -342,11 +341,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
         at = _heads(near["to_doc"], near["to_line"])
         own = left["chunk"][0].as_py() if left.num_rows else 0
         n, some = len(at), int(len(near) > 0)
-        return pa.table({"chunk": pa.array([own] * (n + some), pa.int64()), "kind": pa.array([_TEXT] * n + [_NEARS] * some, pa.int32()), "to_doc": pa.array([*near["to_doc"][at].tolist(), *[None] * some], pa.int64()), "to_line": pa.array([*near["to_line"][at].tolist(), *[None] * some], pa.int64()), "data": pa.array([*[None] * n, *[_squeeze(near)] * some], pa.binary())})
+        return pa.table({"asked_by": pa.array([own] * (n + some), pa.int64()), "kind": pa.array([_TEXT] * n + [_NEARS] * some, pa.int32()), "to_doc": pa.array([*near["to_doc"][at].tolist(), *[None] * some], pa.int64()), "to_line": pa.array([*near["to_line"][at].tolist(), *[None] * some], pa.int64()), "data": pa.array([*[None] * n, *[_squeeze(near)] * some], pa.binary())})
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The texts of the lines that are asked for, after their places, to those who ask."""
-        out = []
+        """The texts of the lines that are asked for, after their places, to those who ask; what stays goes on as it is."""
+        out = [r for r in zip(*(right[c].to_pylist() for c in ("asked_by", "kind", "data")), strict=True) if r[1] == _NEARS]
+        right = right.filter(pc.equal(right["kind"], _TEXT))
         if left.num_rows and right.num_rows:
             chunk, rows_of = _Chunk(left, d, t, hashed=False), {}
             for k, doc in enumerate(chunk.doc_ids):
@@ -400,11 +400,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
     if near:
         keys = by_chunk().cogroup(settled.groupBy("chunk")).applyInArrow(send_variants, _SENT)
         partners = keys.groupBy("bucket").applyInArrow(_join, _REPLY)
-        asked = by_chunk().cogroup(settled.unionAll(partners).groupBy("chunk")).applyInArrow(ask, "chunk long, kind int, to_doc long, to_line long, data binary")
-        asked = stored(asked, "asked")
-        wanted = asked.where(F.col("kind") == _TEXT).select(F.col("chunk").alias("asked_by"), "to_doc", "to_line", dealt("to_doc").alias("chunk"))
-        told = by_chunk().cogroup(wanted.groupBy("chunk")).applyInArrow(tell, _REPLY)
-        heard = settled.unionAll(told).unionAll(asked.where(F.col("kind") == _NEARS).select(*_NAMES))
+        asked = by_chunk().cogroup(settled.unionAll(partners).groupBy("chunk")).applyInArrow(ask, "asked_by long, kind int, to_doc long, to_line long, data binary")
+        asked = asked.withColumn("chunk", F.when(F.col("kind") == _TEXT, dealt("to_doc")).otherwise(F.col("asked_by")))
+        heard = settled.unionAll(by_chunk().cogroup(asked.groupBy("chunk")).applyInArrow(tell, _REPLY))
     new = "_n_lines long, _n_removed long, _n_near long"
     out = by_chunk().cogroup(heard.groupBy("chunk")).applyInArrow(remove, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("chunk").schema) + f", {new}")
     return out.unionAll(unnamed).toDF(*names, "_n_lines", "_n_removed", "_n_near")

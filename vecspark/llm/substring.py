@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import SPACE, U64, Sequences, as_bytes, bounds, covered, pick, pieces, sliding_min, word_hashes
+from ._text import SPACE, U64, Sequences, as_bytes, bounds, covered, even_keys, key_of, pick, pieces, sliding_min, word_hashes
 
 WINDOW, RUN = 50, 8
 #: Bytes of text of a chunk, and of packed strings of a bucket, about.
@@ -71,7 +71,7 @@ def _open(data: bytes) -> bytes:
 class _Chunk:
     """Words of a chunk's documents, in order of doc_id and text, as spans of one buffer of words joined by a blank."""
 
-    def __init__(self, table: pa.Table, window: int, run: int, buckets: int, common: Common):
+    def __init__(self, table: pa.Table, window: int, run: int, buckets: np.ndarray, common: Common):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.doc_ids = table["doc_id"].to_pylist()
         self.texts = [b" ".join(t.split()) if t else b"" for t in as_bytes(table["text"].combine_chunks())]
@@ -84,7 +84,7 @@ class _Chunk:
         self.window, self.common = window, common
         self._super_kmers(word_hashes(buf, self.starts, self.ends), run, buckets)
 
-    def _super_kmers(self, hashes: np.ndarray, run: int, buckets: int) -> None:
+    def _super_kmers(self, hashes: np.ndarray, run: int, buckets: np.ndarray) -> None:
         """First window, number of windows, bucket, entry and lead of each; entry: of its bucket's different strings;
         lead: the smallest doc_id here that has the string."""
         n, window = len(self.starts), self.window
@@ -99,7 +99,7 @@ class _Chunk:
         heads = np.flatnonzero(new & inside)
         stops = np.flatnonzero(np.concatenate([new[1:] | ~inside[1:], [True]]) & inside)
         self.at, self.count = heads, stops - heads + 1
-        self.bucket = (least[heads] % U64(buckets)).astype(np.int64)
+        self.bucket = buckets[(least[heads] % U64(len(buckets))).astype(np.int64)]
         entry, lead = np.empty(len(heads), np.int64), np.empty(len(heads), np.int64)
         seen: dict[int, dict[bytes, int]] = {}
         low, high = self.starts[heads].tolist(), self.ends[stops + window - 1].tolist()
@@ -162,7 +162,7 @@ def common_runs(rows: DataFrame, window: int, run: int, size: int, bucket_bytes:
     return Common(counts.orderBy(F.desc("count"), "run").limit(MOST).toArrow()["run"].to_numpy().view(np.uint64))
 
 
-def _send(window: int, run: int, buckets: int, common):
+def _send(window: int, run: int, buckets: np.ndarray, common):
     def each(table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, window, run, buckets, common.value)
         names = sorted(chunk.sent)
@@ -253,7 +253,7 @@ def _whole(keep_text: bool):
     return each
 
 
-def _remove(window: int, run: int, buckets: int, keep_text: bool, common):
+def _remove(window: int, run: int, buckets: np.ndarray, keep_text: bool, common):
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _OUT.empty_table()
@@ -289,11 +289,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, keep_text: bool
         raise ValueError("run must be from 1 to window")
     rows = pick(docs, doc_id="long", text="string")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = max(8, -(-size // chunk_bytes)), max(16, -(-GROWTH * size // bucket_bytes))
+    spark = rows.sparkSession
+    chunks, buckets = even_keys(spark, max(8, -(-size // chunk_bytes))), even_keys(spark, max(16, -(-GROWTH * size // bucket_bytes)))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     unnamed, rows = rows.where("doc_id is null"), rows.where("doc_id is not null")
-    common = rows.sparkSession.sparkContext.broadcast(common_runs(rows, window, run, size, bucket_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    common = spark.sparkContext.broadcast(common_runs(rows, window, run, size, bucket_bytes))
+    rows = rows.withColumn("chunk", key_of(F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(chunks))), chunks))
     sent = rows.groupBy("chunk").applyInArrow(_send(window, run, buckets, common), "bucket long, chunk long, data binary")
     answers = sent.groupBy("bucket").applyInArrow(_count(window), "chunk long, bucket long, rows binary")
     out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, run, buckets, keep_text, common), schema)
