@@ -276,3 +276,58 @@ def test_trees_learn(spark):
     assert right >= 0.8 * held.count()
     plan = urls.judge(held, RULES, model)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    return urls.train(urls.labelled(spark))
+
+
+def test_expressions_score_as_the_model_does(spark, trees):
+    """On features that no URL has to have, thresholds themselves among them."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rng, seen = random.Random(3), {}
+
+    def walk(node):
+        if isinstance(node, tuple):
+            seen.setdefault(node[0], set()).add(node[1])
+            walk(node[2]), walk(node[3])
+
+    for tree in trees.trees:
+        walk(tree)
+    pick = lambda k: rng.choice([*seen.get(k, {0.0}), rng.uniform(-5, 60)]) + rng.choice([0.0, 0.0, 1e-9, -1e-9])
+    rows = [tuple(float(pick(k)) for k in range(len(trees.names))) for _ in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in trees.names))
+    data = VectorAssembler(inputCols=trees.names, outputCol="features").transform(df)
+    got = [(r["own"], r["probability"][1]) for r in trees.model.transform(data.withColumn("own", trees.probability())).collect()]
+    assert len(seen) > 3 and len({round(a, 6) for a, _ in got}) > 20
+    assert all(abs(a - b) < 1e-12 for a, b in got)
+
+
+def test_features_against_plain_python(spark):
+    import math
+
+    samples = [u for u in urls.CLEAN + urls.DROP] + ["http://UPPER.Example.COM:80/a//b/?x=1&&y#z", "x://", "://h", "http://" + "a" * 5000 + ".com/" + "/".join("1" * 3000)]
+    df, names = urls.features(spark.createDataFrame([(u,) for u in samples], "url string").select("url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path")))
+    for r in df.collect():
+        u, h, p = r["url"], r["host"], r["path"]
+        known = [c for c in h if c in "abcdefghijklmnopqrstuvwxyz0123456789-."]
+        plain = [c for c in h if not ("!" <= c <= "~") or c in known]
+        entropy = math.log2(max(1, len(plain))) - sum(n * math.log2(n) for c in set(known) if (n := known.count(c))) / max(1, len(plain))
+        want = {
+            "f_length": len(u), "f_host_length": len(h), "f_depth": p.count("/"), "f_labels": h.count(".") + 1, "f_hyphens": h.count("-"), "f_digit_ratio": sum(c.isdigit() for c in u) / max(1, len(u)),
+            "f_host_digits": sum(c.isdigit() for c in h) / max(1, len(h)), "f_entropy": entropy, "f_params": u.count("?") + u.count("&"), "f_suffix_length": len(h.rsplit(".", 1)[-1]),
+        }
+        assert sorted(want) == sorted(names) and all(abs(r[n] - v) < 1e-9 for n, v in want.items()), u
+
+
+def test_trees_on_urls_they_have_not_seen(spark):
+    """Each fifth of the labelled URLs is judged by trees that learned from the others, a table that the caller passes."""
+    labelled, right = urls.labelled(spark).collect(), 0
+    for fold in range(5):
+        own = spark.createDataFrame([r for i, r in enumerate(labelled) if i % 5 != fold], "url string, label double")
+        rest = [(i, r["url"]) for i, r in enumerate(labelled) if i % 5 == fold]
+        said = urls.judge(spark.createDataFrame(rest, "page_id long, url string"), [], urls.train(own)).collect()
+        right += sum((r["verdict"] == "block") == (labelled[r["page_id"]]["label"] == 1) for r in said)
+    assert right >= 0.8 * len(labelled)

@@ -146,6 +146,17 @@ def test_packing(spark, part_pieces):
         assert n <= len({p["sequence_id"] for p in packing.pack_documents(docs, BYTE, capacity=64, part_pieces=25, rounds=0).collect()})
 
 
+def test_rounds_go_on_while_they_help(spark):
+    """Many small partitions, each with a bin that is hardly filled: together they need about the bound."""
+    rng = random.Random(9)
+    rows = [(i, 0, 0, rng.randint(1, 60), 0, i) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    bins = lambda **o: packing.pack(pieces, 64, part_pieces=200, **o).select("sequence_id").distinct().count()
+    least = packing.lower_bound(np.array([r[3] for r in rows]), 64)
+    once, three, many = bins(rounds=0), bins(rounds=3), bins()
+    assert least <= many <= three <= once and many < once and many <= 1.04 * least + 2, (least, many, three, once)
+
+
 def test_materialised_sequences(spark):
     rows = texts(random.Random(5), 20)
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -2,9 +2,10 @@
 
 Pieces are dealt to partitions, and each partition packs its own by best-fit decreasing. A lower bound on a partition's
 number of bins, the largest over a family of dual feasible functions, certifies those whose bin count equals it. The
-pieces of the other partitions' less than full bins are exchanged: fewer, newly mixed partitions run best-fit
-decreasing again and keep the outcome only where it needs fewer bins. Sizes are integers up to the capacity, so that a
-partition is packed from its pieces' lengths alone; texts and ids are never shuffled.
+pieces of the other partitions' less than full bins are exchanged, and with them the emptiest bin of each certified one:
+fewer, newly mixed partitions run best-fit decreasing again and keep the outcome only where it needs fewer bins. Rounds go
+on as long as they lower the number of bins. Sizes are integers up to the capacity, so that a partition is packed from its
+pieces' lengths alone; texts and ids are never shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from ._tokenize import load
 
 #: Pieces of a partition, about.
 PART_PIECES = 50_000
-#: Rounds of exchange at most; fewer where all is certified.
-ROUNDS = 3
+#: The rounds that a sequence_id has room for.
+MOST_ROUNDS = 15
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
@@ -109,7 +110,7 @@ def _arrow(table: pa.Table, part: int, bins: np.ndarray, offsets: np.ndarray, op
 
 
 def _pack(capacity: int, round_: int):
-    """Packs the pieces of a partition; open: those in partly filled bins of a partition that is not certified."""
+    """Packs the pieces of a partition; open: those in partly filled bins, of a certified partition in the emptiest one."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("row", "ascending"), ("piece", "ascending")])
@@ -122,32 +123,37 @@ def _pack(capacity: int, round_: int):
                 bins, offsets, count = was.ravel(), table["at"].to_numpy(), code.shape[1]
         fill = np.bincount(bins, weights=lengths, minlength=count)
         done = count <= lower_bound(lengths, capacity)
-        open_ = np.zeros(len(bins), bool) if done else (fill < capacity)[bins]
+        open_ = (fill < capacity)[bins]
+        if done:
+            open_ &= bins == np.argmin(fill)
         return _arrow(table, round_ << 40 | part, bins, offsets, open_)
 
     return run
 
 
-def pack(pieces_: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces_: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES, rounds: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to the pieces that cut() gives, stored once. Sequences are gapless from 0 and hold
-    capacity ids at most; a piece of capacity ids is a sequence of its own."""
+    capacity ids at most; a piece of capacity ids is a sequence of its own. rounds: of exchange at most, 15 or fewer."""
     pieces_ = stored(pieces_, "pieces")
     base = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = pieces_.where(F.col("length") == capacity).select(*base, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces_.where(F.col("length") < capacity)
     parts = max(1, -(-rest.count() // part_pieces))
     deal = lambda n: F.pmod(F.xxhash64("row", "piece"), F.lit(n)).cast("long")
+    count = lambda df: df.agg(F.count_distinct("part").alias("parts"), F.count_distinct("part", "bin").alias("bins"), F.count("*").alias("pieces")).first()
     settled: list[DataFrame] = []
     packed = stored(rest.withColumn("deal", deal(parts)).groupBy("deal").applyInArrow(_pack(capacity, 0), _BINNED), "packed")
-    for round_ in range(1, rounds + 1):
-        gaps = packed.where("open").agg(F.count_distinct("part").alias("n"), F.count("*").alias("pieces")).first()
-        if gaps["n"] < 2:
+    for round_ in range(1, min(MOST_ROUNDS, MOST_ROUNDS if rounds is None else rounds) + 1):
+        now = count(packed.where("open"))
+        if now["parts"] < 2:
             break
         settled.append(packed.where(~F.col("open")))
         # whole bins move, so that what is not improved stays as it is
-        n = max(1, min(gaps["n"] - 1, -(-gaps["pieces"] // part_pieces)))
+        n = max(1, min(now["parts"] - 1, -(-now["pieces"] // part_pieces)))
         moved = packed.where("open").withColumn("deal", F.pmod(F.xxhash64("part", "bin", F.lit(round_)), F.lit(n)).cast("long"))
         packed = stored(moved.groupBy("deal").applyInArrow(_pack(capacity, round_), _BINNED), "packed")
+        if count(packed)["bins"] >= now["bins"]:
+            break
     settled.append(packed)
     out = full
     for df in settled:

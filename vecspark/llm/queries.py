@@ -18,7 +18,7 @@ from .simhash import near_duplicates
 from .sql import SQL
 from .substring import dedup
 from .tokens import read_documents, write_tokens
-from .urls import Rule, judge, labelled, train
+from .urls import Rule, judge, stated
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,7 @@ URL_RULES = [Rule(False, "com", "/en/"), Rule(True, "example.com", "/en/7"), Rul
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(_table(spark, sf_dir, "pages"), URL_RULES, train(labelled(spark)))
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES, stated(ready(spark)))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_rank_profiles, op3_token_codes, op4_simhash_bytes, op5_quality_rules, op6_warc_derivatives, op7_best_fit_packing, op8_decontamination, op9_line_dedup, op10_url_filters)}
