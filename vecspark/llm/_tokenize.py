@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -35,20 +36,31 @@ _BYTES = _byte_level()
 
 
 def byte_level(text: str) -> str:
+    """text, in which a blank stands at the beginning at most and all else is letters, in those characters."""
+    if text.isascii():
+        return _BYTES[0x20] + text[1:] if text[0] == " " else text
     return text.encode().decode("latin-1").translate(_BYTES)
 
 
+#: By number of ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(65)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.asarray(ids, "<u4").tobytes()
+
+
 class _Ids(dict):
     """The ids of each word, which stands after before; a word after _JOINED stands alone."""
 
     def __init__(self, tokenizer, before: str = ""):
         super().__init__()
-        self.tokenizer, self.before, self.letters = tokenizer, before, None
+        self.tokenizer, self.before, self.letters, self.model = tokenizer, before, None, tokenizer.model
 
     def encode(self, text: str) -> bytes:
         if self.letters and self.letters.fullmatch(text):  # one pre-token, which the model takes as it is
-            return np.asarray([t.id for t in self.tokenizer.model.tokenize(byte_level(text))], "<u4").tobytes()
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _packed([t.id for t in self.model.tokenize(byte_level(text))])
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word[1:] if word[:1] == _JOINED else self.before + word)
