@@ -64,8 +64,8 @@ def brute_substring(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size,run,chunk_bytes,share", [(5, 2, 200, 32), (7, 7, 1 << 20, 1), (6, 1, 2000, 32), (6, 3, 300, 1)])
-def test_substring_dedup(spark, monkeypatch, size, run, chunk_bytes, share):
+@pytest.mark.parametrize("size,run,chunk_bytes,share,group", [(5, 2, 200, 32, 4096), (7, 7, 1 << 20, 1, 4096), (6, 1, 2000, 32, 3), (6, 3, 300, 1, 5), (5, 2, 200, 32, 1)])
+def test_substring_dedup(spark, monkeypatch, size, run, chunk_bytes, share, group):
     monkeypatch.setattr(substring, "SHARE", share)
     monkeypatch.setattr(substring, "LEAST", 2)
     rng = random.Random(size)
@@ -78,7 +78,7 @@ def test_substring_dedup(spark, monkeypatch, size, run, chunk_bytes, share):
             w += base[at : at + rng.randint(3, 12)] if rng.random() < 0.6 else [rng.choice("abcxyz") for _ in range(rng.randint(1, 8))]
         rows.append((rng.randint(10, 60), rng.choice([" ", "\n", "  "]).join(w)))
     rows += rows[-5:] + [(100 + d, t) for d, t in rows[20:40]]
-    got = substring.dedup(frame(spark, rows), window=size, run=run, chunk_bytes=chunk_bytes, bucket_bytes=300).collect()
+    got = substring.dedup(frame(spark, rows), window=size, run=run, chunk_bytes=chunk_bytes, bucket_bytes=300, group=group).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_substring(rows, size)
 
 
@@ -93,6 +93,22 @@ def test_a_common_passage_fills_no_bucket():
     assert most[0] < 30_000 and most[1] > 100_000 and rng
 
 
+def test_a_passage_in_every_chunk_meets_in_two_steps(spark):
+    """A group sends a string that its chunks share once, and no task gets more messages than a group has chunks."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(d, f"{d}a {d}b {passage} {d}c {d}d") for d in range(64)]
+    hashes = lambda t: substring._Chunk(t, 6, 2, np.arange(4), substring.Common(np.empty(0, np.uint64)), 8)
+    chunks = [hashes(pa.table({"doc_id": [d], "text": [t], "chunk": [d]})) for d, t in rows]
+    bucket = max(range(4), key=lambda b: sum(b in c.sent for c in chunks))
+    on = [k for k, c in enumerate(chunks) if bucket in c.sent]
+    columns = {"bucket": [bucket] * len(on), "group": [0] * len(on), "chunk": on, "data": [chunks[k].message(bucket) for k in on], "parts": [substring._squeeze(np.array(chunks[k].part[bucket], "<i4").tobytes()) for k in on]}
+    met = substring._Group(pa.table(columns)).messages()
+    strings = [x for m in met["data"].to_pylist() for x in substring._read(m)[1].split(b"\n")]
+    assert len(on) == 64 and len(strings) == len(set(strings)) and len(strings) < sum(len(chunks[k].sent[bucket]) for k in on)
+    got = substring.dedup(frame(spark, rows), window=6, run=2, chunk_bytes=40, bucket_bytes=300, group=8)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_substring(rows, 6)
+
+
 def _spans(text):
     buf = np.frombuffer(text.encode(), np.uint8)
     return buf, *bounds(~SPACE[buf])

@@ -13,7 +13,10 @@ exchange, removes the words of windows that start in a document with a smaller d
 The sample decides which bucket a window goes to, and nothing else: equal windows have the same runs.
 
 Packed strings travel in one compressed row for each pair of chunk and bucket. The numbers of chunks and buckets follow
-the size of the texts.
+the size of the texts. Of more than GROUP chunks, strings travel in two steps, so that neither a passage in every chunk
+nor the number of rows outgrows a task: a bucket is as many times wider as there are groups of chunks, and its strings
+from one group meet first, each once, with its smallest doc_id; those of all groups meet in the bucket's parts, and the
+answers go back the same way.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ WINDOW, RUN = 50, 8
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 #: Bytes of packed strings for each byte of text, about; it only sets the number of buckets.
 GROWTH = 3
+#: Chunks of a group, about.
+GROUP = 4096
 #: The sample that shows which runs are common: one of SHARE documents, and of a larger corpus about SAMPLE_BYTES of
 #: text. A run is common from LEAST documents on whose strings would be a quarter of a bucket; MOST are kept.
 SHARE, SAMPLE_BYTES, LEAST, MOST = 32, 4 << 30, 3, 1_000_000
@@ -68,10 +73,21 @@ def _open(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _message(docs, strings: list[bytes], level: int = 1) -> bytes:
+    return _squeeze(len(docs).to_bytes(8, "little") + np.array(docs, "<i8").tobytes() + b"\n".join(strings), level)
+
+
+def _read(message: bytes) -> tuple[np.ndarray, bytes]:
+    """doc_ids and strings of a message."""
+    raw = _open(message)
+    n = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(raw, "<i8", n, 8), raw[8 + 8 * n :]
+
+
 class _Chunk:
     """Words of a chunk's documents, in order of doc_id and text, as spans of one buffer of words joined by a blank."""
 
-    def __init__(self, table: pa.Table, window: int, run: int, buckets: np.ndarray, common: Common):
+    def __init__(self, table: pa.Table, window: int, run: int, buckets: np.ndarray, common: Common, parts: int = 1):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.doc_ids = table["doc_id"].to_pylist()
         self.texts = [b" ".join(t.split()) if t else b"" for t in as_bytes(table["text"].combine_chunks())]
@@ -82,14 +98,15 @@ class _Chunk:
         self.first, self.last = at[:-1], at[1:]
         self.owner = np.repeat(np.arange(len(self.texts)), self.last - self.first)
         self.window, self.common = window, common
-        self._super_kmers(word_hashes(buf, self.starts, self.ends), run, buckets)
+        self._super_kmers(word_hashes(buf, self.starts, self.ends), run, buckets, parts)
 
-    def _super_kmers(self, hashes: np.ndarray, run: int, buckets: np.ndarray) -> None:
+    def _super_kmers(self, hashes: np.ndarray, run: int, buckets: np.ndarray, parts: int) -> None:
         """First window, number of windows, bucket, entry and lead of each; entry: of its bucket's different strings;
         lead: the smallest doc_id here that has the string."""
         n, window = len(self.starts), self.window
         self.at = self.count = self.bucket = self.entry = self.lead = np.empty(0, np.int64)
         self.sent: dict[int, list[tuple[bytes, int]]] = {}
+        self.part: dict[int, list[int]] = {}  # of each string sent
         known = np.array([d is not None for d in self.doc_ids], bool)
         if n < window:
             return
@@ -99,21 +116,23 @@ class _Chunk:
         heads = np.flatnonzero(new & inside)
         stops = np.flatnonzero(np.concatenate([new[1:] | ~inside[1:], [True]]) & inside)
         self.at, self.count = heads, stops - heads + 1
-        self.bucket = buckets[(least[heads] % U64(len(buckets))).astype(np.int64)]
+        place = (least[heads] % U64(len(buckets) * parts)).astype(np.int64)
+        self.bucket, part = buckets[place % len(buckets)], place // len(buckets)
         entry, lead = np.empty(len(heads), np.int64), np.empty(len(heads), np.int64)
         seen: dict[int, dict[bytes, int]] = {}
         low, high = self.starts[heads].tolist(), self.ends[stops + window - 1].tolist()
-        for k, (b, s, e, d) in enumerate(zip(self.bucket.tolist(), low, high, self.owner[heads].tolist(), strict=True)):
+        for k, (b, c, s, e, d) in enumerate(zip(self.bucket.tolist(), part.tolist(), low, high, self.owner[heads].tolist(), strict=True)):
             text, own = self.data[s:e], seen.setdefault(b, {})
             if (i := own.get(text)) is None:
                 i = own[text] = len(own)
                 self.sent.setdefault(b, []).append((text, self.doc_ids[d]))  # the smallest comes first
+                self.part.setdefault(b, []).append(c)
             entry[k], lead[k] = i, self.sent[b][i][1]
         self.entry, self.lead = entry, lead
 
     def message(self, bucket: int) -> bytes:
         strings, docs = zip(*self.sent[bucket], strict=True)
-        return _squeeze(len(docs).to_bytes(8, "little") + np.array(docs, "<i8").tobytes() + b"\n".join(strings), level=5)
+        return _message(docs, strings, level=5)
 
     def removed(self, answers: dict[int, np.ndarray]) -> np.ndarray:
         """Which words go; answers: rows (entry, window, smallest doc_id) of each bucket."""
@@ -162,11 +181,12 @@ def common_runs(rows: DataFrame, window: int, run: int, size: int, bucket_bytes:
     return Common(counts.orderBy(F.desc("count"), "run").limit(MOST).toArrow()["run"].to_numpy().view(np.uint64))
 
 
-def _send(window: int, run: int, buckets: np.ndarray, common):
+def _send(window: int, run: int, buckets: np.ndarray, common, parts: int):
     def each(table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, window, run, buckets, common.value)
+        chunk = _Chunk(table, window, run, buckets, common.value, parts)
         names = sorted(chunk.sent)
-        return pa.table({"bucket": pa.array(names, pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(names), pa.int64()), "data": pa.array([chunk.message(b) for b in names], pa.binary())})
+        part = [_squeeze(np.array(chunk.part[b], "<i4").tobytes()) if parts > 1 else None for b in names]
+        return pa.table({"bucket": pa.array(names, pa.int64()), "chunk": pa.array([table["chunk"][0].as_py()] * len(names), pa.int64()), "data": pa.array([chunk.message(b) for b in names], pa.binary()), "parts": pa.array(part, pa.binary())})
 
     return each
 
@@ -176,12 +196,11 @@ def count_windows(messages: list[bytes], window: int) -> list[np.ndarray]:
     in any message of the bucket, or again in one of a larger."""
     docs, origin, entries, parts = [], [], [], []
     for k, message in enumerate(messages):
-        raw = _open(message)
-        n = int.from_bytes(raw[:8], "little")
-        docs.append(np.frombuffer(raw, "<i8", n, 8))
-        origin.append(np.full(n, k))
-        entries.append(np.arange(n))
-        parts.append(raw[8 + 8 * n :])
+        own, strings = _read(message)
+        docs.append(own)
+        origin.append(np.full(len(own), k))
+        entries.append(np.arange(len(own)))
+        parts.append(strings)
     data = b"\n".join(parts)
     del parts
     doc, origin_, entry = np.concatenate(docs), np.concatenate(origin), np.concatenate(entries)
@@ -230,17 +249,96 @@ def _by_words(data, starts, ends, order, own, window):
     return order, own, np.array([least[t] for t in texts], np.int64)
 
 
-def _count(window: int):
+def _answers(found: list[np.ndarray], senders: list[int], sender: str, **key: int) -> pa.Table:
+    on = [k for k, rows in enumerate(found) if len(rows)]
+    same = {name: pa.array([value] * len(on), pa.int64()) for name, value in key.items()}
+    return pa.table({sender: pa.array([senders[k] for k in on], pa.int64()), **same, "rows": pa.array([_squeeze(found[k].tobytes()) for k in on], pa.binary())})
+
+
+def _count(window: int, sender: str, *key: str):
+    """Answers to the messages of a bucket, or of a part of one."""
+
     def each(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
+        table = table.sort_by(sender)
         found = count_windows(table["data"].to_pylist(), window)
-        on = [k for k, rows in enumerate(found) if len(rows)]
-        chunk, bucket = table["chunk"].to_pylist(), table["bucket"][0].as_py()
-        return pa.table({"chunk": pa.array([chunk[k] for k in on], pa.int64()), "bucket": pa.array([bucket] * len(on), pa.int64()), "rows": pa.array([_squeeze(found[k].tobytes()) for k in on], pa.binary())})
+        return _answers(found, table[sender].to_pylist(), sender, **{k: table[k][0].as_py() for k in key})
 
     return each
 
 
+class _Group:
+    """The different strings of a bucket's messages from a group of chunks, each with its part, its smallest doc_id and
+    the number of messages that have it."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("chunk")
+        self.chunks, self.bucket, self.number = table["chunk"].to_pylist(), table["bucket"][0].as_py(), table["group"][0].as_py()
+        seen: dict[bytes, int] = {}
+        self.own, docs, parts = [], [], []
+        for data, part in zip(table["data"].to_pylist(), table["parts"].to_pylist(), strict=True):
+            doc, strings = _read(data)
+            self.own.append(np.array([seen.setdefault(x, len(seen)) for x in strings.split(b"\n")], np.int64))
+            docs.append(doc)
+            parts.append(np.frombuffer(_open(part), "<i4"))
+        self.strings, every = list(seen), np.concatenate(self.own)
+        self.times, self.least, self.part = np.bincount(every), np.full(len(seen), _NONE), np.empty(len(seen), np.int64)
+        np.minimum.at(self.least, every, np.concatenate(docs))
+        self.part[every] = np.concatenate(parts)
+        self.order = np.argsort(self.part, kind="stable")  # a part's strings, as they are sent
+        self.parts, self.at = np.unique(self.part[self.order], return_index=True)
+        self.upto = np.append(self.at[1:], len(seen))
+
+    def messages(self) -> pa.Table:
+        rows = [(self.bucket, int(p), self.number, _message(self.least[mine], [self.strings[i] for i in mine.tolist()], level=5)) for p, mine in ((p, self.order[a:b]) for p, a, b in zip(self.parts, self.at, self.upto, strict=True))]
+        bucket, part, group, data = zip(*rows, strict=True)
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "part": pa.array(part, pa.int64()), "group": pa.array(group, pa.int64()), "data": pa.array(data, pa.binary())})
+
+    def spread(self, answers: dict[int, np.ndarray], window: int) -> list[np.ndarray]:
+        """For each message the rows of its windows; answers: those to the messages of each part. All windows of a string
+        in several messages are found at least at its smallest doc_id."""
+        count = np.array([x.count(b" ") + 2 - window for x in self.strings], np.int64)
+        begin = np.concatenate([[0], np.cumsum(count)])
+        doc = np.repeat(np.where(self.times > 1, self.least, _NONE), count)
+        for part, rows in answers.items():
+            at = begin[self.order[self.at[np.searchsorted(self.parts, part)] + rows["entry"]]] + rows["window"]
+            doc[at] = np.minimum(doc[at], rows["doc"])
+        on = np.flatnonzero(doc != _NONE)
+        lo, hi = np.searchsorted(on, begin[:-1]), np.searchsorted(on, begin[1:])
+        out = []
+        for own in self.own:
+            take = hi[own] - lo[own]
+            index = on[np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(lo[own], take)]
+            rows = np.empty(len(index), _ROW)
+            rows["entry"], rows["window"], rows["doc"] = np.repeat(np.arange(len(own)), take), index - np.repeat(begin[own], take), doc[index]
+            out.append(rows)
+        return out
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    return _Group(table).messages()
+
+
+def _spread(window: int):
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _answers([], [], "chunk", bucket=0)
+        group = _Group(left)
+        answers = {p: np.frombuffer(_open(r), _ROW) for p, r in zip(right["part"].to_pylist(), right["rows"].to_pylist(), strict=True)}
+        return _answers(group.spread(answers, window), group.chunks, "chunk", bucket=group.bucket)
+
+    return each
+
+
+def answered(sent: DataFrame, window: int, groups: int) -> DataFrame:
+    """chunk, bucket and rows of the windows of sent (bucket, chunk, data, parts) that occur elsewhere."""
+    if groups == 1:
+        return sent.groupBy("bucket").applyInArrow(_count(window, "chunk", "bucket"), "chunk long, bucket long, rows binary")
+    sent = sent.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    met = sent.groupBy("bucket", "group").applyInArrow(_gather, "bucket long, part long, group long, data binary")
+    found = met.groupBy("bucket", "part").applyInArrow(_count(window, "group", "bucket", "part"), "group long, bucket long, part long, rows binary")
+    return sent.groupBy("bucket", "group").cogroup(found.groupBy("bucket", "group")).applyInArrow(_spread(window), "chunk long, bucket long, rows binary")
+
+
 def _whole(keep_text: bool):
     """Rows without a doc_id, as they are."""
 
@@ -253,11 +351,11 @@ def _whole(keep_text: bool):
     return each
 
 
-def _remove(window: int, run: int, buckets: np.ndarray, keep_text: bool, common):
+def _remove(window: int, run: int, buckets: np.ndarray, keep_text: bool, common, parts: int):
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _OUT.empty_table()
-        chunk = _Chunk(left, window, run, buckets, common.value)
+        chunk = _Chunk(left, window, run, buckets, common.value, parts)
         gone = chunk.removed({b: np.frombuffer(_open(r), _ROW) for b, r in zip(right["bucket"].to_pylist(), right["rows"].to_pylist(), strict=True)})
         words, removed, digests, texts = [], [], [], []
         total = np.concatenate([[0], np.cumsum(gone)])
@@ -277,7 +375,7 @@ def _remove(window: int, run: int, buckets: np.ndarray, keep_text: bool, common)
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, keep_text: bool = True, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, keep_text: bool = True, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (null unless keep_text) of each row of docs (doc_id, text).
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text. Each word covered by a window whose words also start in a document
@@ -290,12 +388,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, keep_text: bool
     rows = pick(docs, doc_id="long", text="string")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = rows.sparkSession
-    chunks, buckets = even_keys(spark, max(8, -(-size // chunk_bytes))), even_keys(spark, max(16, -(-GROWTH * size // bucket_bytes)))
+    chunks = even_keys(spark, max(8, -(-size // chunk_bytes)))
+    groups = -(-len(chunks) // group)
+    buckets = even_keys(spark, -(-max(16, -(-GROWTH * size // bucket_bytes)) // groups))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     unnamed, rows = rows.where("doc_id is null"), rows.where("doc_id is not null")
     common = spark.sparkContext.broadcast(common_runs(rows, window, run, size, bucket_bytes))
     rows = rows.withColumn("chunk", key_of(F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(chunks))), chunks))
-    sent = rows.groupBy("chunk").applyInArrow(_send(window, run, buckets, common), "bucket long, chunk long, data binary")
-    answers = sent.groupBy("bucket").applyInArrow(_count(window), "chunk long, bucket long, rows binary")
-    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, run, buckets, keep_text, common), schema)
+    sent = rows.groupBy("chunk").applyInArrow(_send(window, run, buckets, common, groups), "bucket long, chunk long, data binary, parts binary")
+    answers = answered(sent, window, groups)
+    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, run, buckets, keep_text, common, groups), schema)
     return out.unionByName(unnamed.mapInArrow(_whole(keep_text), schema))
