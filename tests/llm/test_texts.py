@@ -173,13 +173,13 @@ def edited(rng, line):
     return line
 
 
-@pytest.mark.parametrize("seed,near,chunk_bytes", [(4, True, 300), (5, True, 1 << 20), (6, False, 300), (7, True, 2000)])
-def test_line_dedup(spark, seed, near, chunk_bytes):
+@pytest.mark.parametrize("seed,near,chunk_bytes,group", [(4, True, 300, 4096), (5, True, 1 << 20, 4096), (6, False, 300, 3), (7, True, 2000, 4096), (8, True, 300, 4), (9, True, 300, 1)])
+def test_line_dedup(spark, seed, near, chunk_bytes, group):
     rng = random.Random(seed)
     base = [[rng.choice("abcdefgh") for _ in range(rng.choice([4, 5, 7, 8, 9, 9, 10, 13]))] for _ in range(20)]
     rows = [(None, "a b c d e f g h i j"), (3, None), (4, ""), (5, "\n\n"), (6, "w " * 2000)]
     rows += [(i + 10, "\n".join(rng.choice([" ", "  "]).join(edited(rng, rng.choice(base))) for _ in range(rng.randint(0, 6)))) for i in range(60)]
-    got = lines.dedup_lines(frame(spark, rows), near=near, chunk_bytes=chunk_bytes, bucket_bytes=300).collect()
+    got = lines.dedup_lines(frame(spark, rows), near=near, chunk_bytes=chunk_bytes, bucket_bytes=300, group=group).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_lines(rows, near)
 
 
@@ -191,9 +191,10 @@ def test_line_dedup_edges(spark):
     line = "one two three four five six seven eight nine"
     rows = [(1, line), (None, line + "\n"), (None, None), *((k, line.replace("five", f"x{k}") + f"\n{k}") for k in range(2, 60))]
     odd = spark.createDataFrame([(*r, 1, "b") for r in rows], "doc_id long, text string, _n_removed int, asked_by string")
-    got = {tuple(r)[:2]: tuple(r)[4:] for r in lines.dedup_lines(odd, chunk_bytes=300, bucket_bytes=300).collect()}
-    assert got.pop((None, line + "\n")) == (2, 0, 0) and got.pop((None, None)) == (0, 0, 0) and got.pop((1, line)) == (1, 0, 0)
-    assert got == {(k, str(k)): (2, 1, 1) for k in range(2, 60)}
+    for group in (4096, 3):
+        got = {tuple(r)[:2]: tuple(r)[4:] for r in lines.dedup_lines(odd, chunk_bytes=300, bucket_bytes=300, group=group).collect()}
+        assert got.pop((None, line + "\n")) == (2, 0, 0) and got.pop((None, None)) == (0, 0, 0) and got.pop((1, line)) == (1, 0, 0)
+        assert got == {(k, str(k)): (2, 1, 1) for k in range(2, 60)}
     long_text = "\n".join(f"{line} {i}" for i in range(60_000))
     r = lines.dedup_lines(frame(spark, [(2, long_text), (1, f"{line} 59999")])).where("doc_id = 2").first()
     assert (r["_n_lines"], r["_n_removed"], r["_n_near"]) == (60_000, 60_000, 59_999)

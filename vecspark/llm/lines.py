@@ -15,6 +15,11 @@ Documents are dealt to chunks by a hash of doc_id; keys travel in one compressed
 each key once for each chunk, with its earliest line. A chunk asks for the text of each partner once, and keeps the places
 of its own lines that it asks for, so that a line that very many are near costs a row for each chunk. All passes read the
 documents from one exchange.
+
+Of more than GROUP chunks, keys and questions travel in two steps, so that neither a line in every chunk nor the number
+of rows outgrows a task: a bucket is as many times wider as there are groups of chunks; its keys from one group meet
+first, each once, with the earliest line; those of all groups meet in the bucket's parts, and answers go back the same
+way. A line's text is asked for once by each group.
 """
 
 from __future__ import annotations
@@ -26,12 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import stored
 from ._text import SPACE, U64, Sequences, as_bytes, bounds, even_keys, key_of, mix, powers, word_hashes
 
 #: Words of a line that can be removed, and of one that is compared within one edit, at least.
 LINE_WORDS, NEAR_WORDS = 5, 8
 #: Bytes of text of a chunk, and for each bucket, about.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Chunks of a group, about.
+GROUP = 4096
 _EXACT = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 _HALF = np.dtype([("key", "<u8"), ("tag", "<u8"), ("many", "u1")])
 _VARIANT = np.dtype([("a", "<u8"), ("b", "<u8"), ("at", "<i4"), ("doc", "<i8"), ("line", "<i4")])
@@ -40,6 +48,8 @@ _REPLY = "chunk long, kind int, data binary"
 _NAMES = ["chunk", "kind", "data"]
 _TYPES = [pa.int64(), pa.int32(), pa.binary()]
 _FIRST, _SHARED, _PARTNER, _TEXT, _NEARS = range(5)
+#: Rows of a kind of message, the fields that are their key, and rows of the answer.
+_FORM = {_FIRST: (_EXACT, ("h", "g"), _EXACT), _SHARED: (_HALF, ("key",), np.dtype("<u8")), _PARTNER: (_VARIANT, ("a", "b", "at"), _VARIANT)}
 
 
 def _squeeze(rows: np.ndarray) -> bytes:
@@ -59,9 +69,15 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _messages(chunk: int, rows: np.ndarray, by: np.ndarray, buckets: np.ndarray, kind: int) -> pa.Table:
+def _place(by: np.ndarray, buckets: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each of by, and the part of it."""
+    place = (by % U64(len(buckets) * parts)).astype(np.int64)
+    return buckets[place % len(buckets)], place // len(buckets)
+
+
+def _messages(chunk: int, rows: np.ndarray, by: np.ndarray, buckets: np.ndarray, kind: int, parts: int) -> pa.Table:
     """rows in one message for each bucket of by."""
-    bucket = buckets[(by % U64(len(buckets))).astype(np.int64)]
+    bucket, _ = _place(by, buckets, parts)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     at = _heads(bucket)
@@ -257,6 +273,94 @@ def _join(table: pa.Table) -> pa.Table:
     return _reply(table["chunk"].to_pylist(), _PARTNER, np.split(say[place], np.searchsorted(source[place], np.arange(1, len(parts)))))
 
 
+def _ranked(rows: np.ndarray, key: tuple[str, ...], *before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows in order of their key, of before and of their place, and where a new key begins."""
+    order = np.lexsort((rows["line"], rows["doc"], *before, *(rows[k] for k in reversed(key))))
+    return order, _heads(*(rows[k][order] for k in key))
+
+
+def _reduced(kind: int, rows: np.ndarray) -> np.ndarray:
+    """Each key once: with its earliest line, or with one of its lines and whether there are others."""
+    _, key, _ = _FORM[kind]
+    if kind != _SHARED:
+        order, head = _ranked(rows, key)
+        return rows[order[head]]
+    rows = rows[np.lexsort((rows["tag"], rows["key"]))]
+    head = _heads(rows["key"])
+    tail = np.concatenate([head[1:], [len(rows)]]) - 1
+    out = rows[head].copy()
+    out["many"] = (rows["tag"][head] != rows["tag"][tail]) | (np.add.reduceat(rows["many"].astype(np.int64), head) > 0)
+    return out
+
+
+def _by_message(table: pa.Table, kind: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The chunks that sent a kind of message, and of all their rows, the rows and whose each is."""
+    own = table.filter(pc.equal(table["kind"], kind))
+    rows = [_open(d, _FORM[kind][0]) for d in own["data"].to_pylist()]
+    every = np.concatenate(rows) if rows else np.empty(0, _FORM[kind][0])
+    return own["chunk"].to_pylist(), every, np.repeat(np.arange(len(rows)), np.array([len(r) for r in rows], np.int64))
+
+
+def _gather(buckets: np.ndarray, parts: int):
+    """What a group of chunks sends to each part of a bucket; chunk is the group's number there."""
+
+    def each(table: pa.Table) -> pa.Table:
+        bucket, group, out = table["bucket"][0].as_py(), table["group"][0].as_py(), []
+        for kind, (_, key, _) in _FORM.items():
+            _, rows, _ = _by_message(table, kind)
+            if len(rows):
+                rows = _reduced(kind, rows)
+                _, part = _place(rows[key[0]], buckets, parts)
+                order = np.argsort(part, kind="stable")
+                at = _heads(part[order])
+                out += [(bucket, int(p), group, kind, _squeeze(r)) for p, r in zip(part[order][at], np.split(rows[order], at[1:]), strict=True)]
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *_TYPES], strict=True)], names=["bucket", "part", *_NAMES])
+
+    return each
+
+
+def _of_part(run):
+    def each(table: pa.Table) -> pa.Table:
+        out = run(table)
+        return out.append_column("bucket", pa.array([table["bucket"][0].as_py()] * out.num_rows, pa.int64()))
+
+    return each
+
+
+def _spread(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The answers to a group's chunks, from those to the group and from what its chunks have among themselves."""
+    out = [_reply([], 0, [])]
+    for kind, (_, key, form) in _FORM.items() if left.num_rows else ():
+        chunks, rows, source = _by_message(left, kind)
+        said = [_open(d, form) for d in right.filter(pc.equal(right["kind"], kind))["data"].to_pylist()]
+        said = np.concatenate(said) if said else np.empty(0, form)
+        if not len(rows):
+            continue
+        if kind == _SHARED:
+            say, on = rows["key"], np.isin(rows["key"], said)
+        else:
+            every = np.concatenate([said, rows])
+            order, head = _ranked(every, key, np.arange(len(every)) >= len(said))
+            lead = np.empty(len(every), np.int64)
+            lead[order] = order[np.repeat(head, np.diff(np.append(head, len(every))))]
+            lead, say = lead[len(said) :], rows.copy()
+            say["doc"], say["line"] = every["doc"][lead], every["line"][lead]
+            on = (say["doc"] != rows["doc"]) | (say["line"] != rows["line"])
+        out.append(_reply(chunks, kind, np.split(say[on], np.searchsorted(source[on], np.arange(1, len(chunks))))))
+    return pa.concat_tables(out)
+
+
+def answered(sent: DataFrame, run, buckets: np.ndarray, groups: int) -> DataFrame:
+    """The answers of run to the messages sent to each bucket."""
+    if groups == 1:
+        return sent.groupBy("bucket").applyInArrow(run, _REPLY)
+    sent = sent.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    met = sent.groupBy("bucket", "group").applyInArrow(_gather(buckets, groups), f"bucket long, part long, {_REPLY}")
+    found = met.groupBy("bucket", "part").applyInArrow(_of_part(run), f"{_REPLY}, bucket long").withColumnRenamed("chunk", "group")
+    return sent.groupBy("bucket", "group").cogroup(found.groupBy("bucket", "group")).applyInArrow(_spread, _REPLY)
+
+
 def _partners(chunk: _Chunk, said: dict[int, list[bytes]]) -> list[np.ndarray]:
     """doc, line, and the place of the earliest partner of the entries that have an earlier one."""
     entry, rows = chunk.variants(said[_FIRST], said[_SHARED])
@@ -292,7 +396,7 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: bool = True, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: bool = True, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, group: int = GROUP) -> DataFrame:
     """docs without the lines that are removed, and _n_lines, _n_removed and _n_near (of those, lines that only come near
     an earlier one) appended. Kept lines are joined by a line feed.
 
@@ -305,7 +409,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
     d, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn(t, F.col(t).cast("string")).withColumn(d, F.col(d).cast("long"))
     size = rows.agg(F.sum(F.octet_length(t))).first()[0] or 0
-    chunks, buckets = (even_keys(docs.sparkSession, max(8, -(-size // b))) for b in (chunk_bytes, bucket_bytes))
+    chunks = even_keys(docs.sparkSession, max(8, -(-size // chunk_bytes)))
+    groups = -(-len(chunks) // group)
+    buckets = even_keys(docs.sparkSession, -(-max(8, -(-size // bucket_bytes)) // groups))
     dealt = lambda c: key_of(F.pmod(F.xxhash64(c), F.lit(len(chunks))), chunks)
     breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
     counts = (F.when(F.col(t).isNull(), 0).otherwise(breaks), F.lit(0), F.lit(0))
@@ -316,19 +422,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
     def send(table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, d, t)
         exact = chunk.exact()
-        out = [_messages(chunk.number, exact, exact["h"], buckets, _FIRST)]
+        out = [_messages(chunk.number, exact, exact["h"], buckets, _FIRST, groups)]
         if near:
             half = chunk.half_rows()
-            out.append(_messages(chunk.number, half, half["key"], buckets, _SHARED))
+            out.append(_messages(chunk.number, half, half["key"], buckets, _SHARED, groups))
         return pa.concat_tables(out)
 
     def send_variants(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _messages(0, np.empty(0, _VARIANT), np.empty(0, U64), buckets, _PARTNER)
+            return _messages(0, np.empty(0, _VARIANT), np.empty(0, U64), buckets, _PARTNER, groups)
         chunk, said = _Chunk(left, d, t), _by_kind(right)
         entry, own = chunk.variants(said[_FIRST], said[_SHARED])
         own = own[_heads(own["a"], own["b"], own["at"])] if len(own) else own
-        return _messages(chunk.number, own, own["a"], buckets, _PARTNER)
+        return _messages(chunk.number, own, own["a"], buckets, _PARTNER, groups)
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         """A row for each line that is the earliest partner of lines here; and one of those lines and their partners,
@@ -344,7 +450,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
         return pa.table({"asked_by": pa.array([own] * (n + some), pa.int64()), "kind": pa.array([_TEXT] * n + [_NEARS] * some, pa.int32()), "to_doc": pa.array([*near["to_doc"][at].tolist(), *[None] * some], pa.int64()), "to_line": pa.array([*near["to_line"][at].tolist(), *[None] * some], pa.int64()), "data": pa.array([*[None] * n, *[_squeeze(near)] * some], pa.binary())})
 
     def tell(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The texts of the lines that are asked for, after their places, to those who ask; what stays goes on as it is."""
+        """The texts of the lines that are asked for, after their places, to those who ask, chunks or groups of them; what
+        stays goes on as it is."""
         out = [r for r in zip(*(right[c].to_pylist() for c in ("asked_by", "kind", "data")), strict=True) if r[1] == _NEARS]
         right = right.filter(pc.equal(right["kind"], _TEXT))
         if left.num_rows and right.num_rows:
@@ -354,7 +461,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
             for by, doc, line in zip(*(right[c].to_pylist() for c in ("asked_by", "to_doc", "to_line")), strict=True):
                 for k in rows_of.get(doc, []):
                     if (i := int(chunk.begin[k]) + line) < chunk.begin[k + 1]:
-                        out.append((by, _TEXT, doc.to_bytes(8, "little", signed=True) + line.to_bytes(8, "little") + chunk.line(i)))
+                        out.append((by, _TEXT, doc.to_bytes(8, "big", signed=True) + line.to_bytes(8, "big") + chunk.line(i)))
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
@@ -375,7 +482,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
             rows_of.setdefault(doc, []).append(k)
         partner: dict[tuple[int, int], list[list[bytes]]] = {}
         for data in said[_TEXT]:
-            to = int.from_bytes(data[:8], "little", signed=True), int.from_bytes(data[8:16], "little")
+            to = int.from_bytes(data[:8], "big", signed=True), int.from_bytes(data[8:16], "big")
             partner.setdefault(to, []).append(data[16:].split())
         for data in said[_NEARS]:
             for doc, line, *to in _open(data, _NEAR).tolist():
@@ -395,14 +502,25 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", nea
         n = np.where([x is None for x in chunk.texts], 0, chunk.begin[1:] - chunk.begin[:-1]).astype(np.int64)
         return table.append_column("_n_lines", pa.array(n)).append_column("_n_removed", count(total)).append_column("_n_near", count(near_total))
 
-    settled = by_chunk().applyInArrow(send, _SENT).groupBy("bucket").applyInArrow(_settle, _REPLY)
+    def told(asked: DataFrame) -> DataFrame:
+        texts = lambda rows: by_chunk().cogroup(rows.groupBy("chunk")).applyInArrow(tell, _REPLY)
+        if groups == 1:
+            return texts(asked.withColumn("chunk", F.when(F.col("kind") == _TEXT, dealt("to_doc")).otherwise(F.col("asked_by"))))
+        asked = stored(asked.withColumn("group", F.pmod(F.xxhash64("asked_by"), F.lit(groups))), "asked")
+        stay, asks = asked.where(F.col("kind") == _NEARS).select(F.col("asked_by").alias("chunk"), "kind", "data"), asked.where(F.col("kind") == _TEXT)
+        once = asks.select(F.col("group").alias("asked_by"), "kind", "to_doc", "to_line", "data").distinct().withColumn("chunk", dealt("to_doc"))
+        head = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("to_doc", "to_line"))))
+        to = asks.select(F.col("asked_by").alias("to"), "group", head.alias("head"))
+        said = texts(once).select(F.col("chunk").alias("group"), "kind", "data", F.substring("data", 1, 16).alias("head"))
+        return stay.unionAll(said.join(to, ["group", "head"]).select(F.col("to").alias("chunk"), "kind", "data"))
+
+    settled = answered(by_chunk().applyInArrow(send, _SENT), _settle, buckets, groups)
     heard = settled
     if near:
         keys = by_chunk().cogroup(settled.groupBy("chunk")).applyInArrow(send_variants, _SENT)
-        partners = keys.groupBy("bucket").applyInArrow(_join, _REPLY)
+        partners = answered(keys, _join, buckets, groups)
         asked = by_chunk().cogroup(settled.unionAll(partners).groupBy("chunk")).applyInArrow(ask, "asked_by long, kind int, to_doc long, to_line long, data binary")
-        asked = asked.withColumn("chunk", F.when(F.col("kind") == _TEXT, dealt("to_doc")).otherwise(F.col("asked_by")))
-        heard = settled.unionAll(by_chunk().cogroup(asked.groupBy("chunk")).applyInArrow(tell, _REPLY))
+        heard = settled.unionAll(told(asked))
     new = "_n_lines long, _n_removed long, _n_near long"
     out = by_chunk().cogroup(heard.groupBy("chunk")).applyInArrow(remove, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("chunk").schema) + f", {new}")
     return out.unionAll(unnamed).toDF(*names, "_n_lines", "_n_removed", "_n_near")
