@@ -10,8 +10,6 @@ from ..plans.session import stored
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """Links every neighbour of a node to its least one: of larger neighbours (large star), or of smaller ones."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = both.where("u > v") if small else both
     if small:
         both = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
