@@ -9,7 +9,8 @@ from test_texts import brute_hits, brute_lines, brute_quality, words_of
 from test_tokens import check_packed
 
 import corpus_pipeline
-from vecspark.llm import quality
+from vecspark.llm import decontaminate, jaccard, quality
+from vecspark.llm._tokenize import load, vocabulary
 from vecspark.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +90,23 @@ def test_stages_take_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_give_the_memory_of_kept_words_back(spark, monkeypatch):
+    """A worker that packing has filled with words is reused by the stages of the next run."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60))), (2, None)], "doc_id long, text string")
+    runs, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: (runs.append((run, self.toArrow())), real(self, run, schema))[1])
+    quality.keep(docs)
+    decontaminate.clean(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    jaccard.frequent(docs, 5)
+    tokenizer = load(vocabulary("byte_bpe_50k.json"))
+    assert len(runs) == 3
+    for run, rows in runs:
+        tokenizer.encode("some words that are kept")
+        assert tokenizer.ids and tokenizer.after
+        list(run(iter(rows.to_batches())))
+        assert not tokenizer.ids and not tokenizer.after
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_has_a_row_for_each_row(spark, name):

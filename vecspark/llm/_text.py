@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ._tokenize import forget
+
 with contextlib.suppress(AttributeError, OSError):
     # a reused worker gives large arrays back to the system: they are mapped one by one, and 16 MB
     # of what is free is kept (M_MMAP_THRESHOLD, M_TRIM_THRESHOLD)
@@ -206,6 +208,7 @@ def appended(docs, text: str, run, fields: dict[str, str]):
     schema = T.StructType([*inner.schema.fields, *new.fields])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches, f"_c{at}"):
             yield pa.RecordBatch.from_arrays([*batch.columns, *run(as_bytes(batch.column(at)), batch)], names=[f.name for f in schema])
 
