@@ -176,6 +176,34 @@ def test_ivf(spark, rows, tmp_path):
     assert np.allclose(again.centroids, index.centroids)
 
 
+def test_ivf_looks_at_as_many_lists_as_recall_takes(spark, tmp_path):
+    """Many lists and few probes: the index measures that one list isn't enough, also after changes."""
+    m = np.random.default_rng(9).normal(size=(1500, 16))
+    frame = lambda data: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "id long, v array<double>")
+    rows, queries = frame(m).persist(), frame(m[:300:20]).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    for metric in ("euclidean", "cosine"):
+        want = {(r["qid"], r["id"]) for r in search.batch_topk(rows, "id", VectorField("v", 16, metric), queries, "qid", "q", 10).collect()}
+        shares = []
+        for least in (0.95, None):
+            field = VectorField("v", 16, metric, index=IndexSpec("ivf", clusters=40, probes=1, recall=least))
+            index = IvfIndex.build(rows, "id", field, str(tmp_path / f"{metric}{least}"))
+            shares.append(len(want & {(r["qid"], r["id"]) for r in index.batch_topk(queries, "qid", "q", 10).collect()}) / len(want))
+        assert len(want) == 150 and shares[0] >= 0.9 > shares[1]
+        assert len(index.measured) == 0 and index.lists(10) == 1
+
+
+def test_copies_are_in_order_of_key(spark):
+    """Equal rows have equal scores wherever they are in a block."""
+    m = np.random.default_rng(2).normal(size=(90, 5))
+    m[::3] = m[0]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, m[i].tolist()) for i in range(7)], "qid long, q array<double>")
+    for metric in ("cosine", "dot", "euclidean"):
+        got = search.batch_topk(rows, "id", VectorField("v", 5, metric), queries, "qid", "q", 4).where("qid % 3 = 0").orderBy("qid", "rank").collect()
+        assert metric == "dot" or [r["id"] for r in got] == [0, 3, 6, 9] * 3
+        assert all(len({r["similarity"] for r in got[i : i + 4]}) == 1 for i in (0, 4, 8) if got[i]["id"] % 3 == 0)
+
+
 def test_hnsw(spark, rows, tmp_path):
     field = VectorField("v", 8, "cosine", index=IndexSpec("hnsw", m=8, ef_construction=60, ef_search=60))
     index = HnswIndex.build(rows, "id", field, str(tmp_path / "hnsw"), shard_rows=160)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.metrics import Vector, doubles, literal, norm, plain_dot
+from ..functions.metrics import Metric, Vector, doubles, literal, norm, plain_dot
 from ..functions.prepare import half, prepare_query, searchable, sq8_codes, sq8_decoded, sq8_scale, truncated
 from ..plans.schema import VectorField
 from ..plans.session import stored
@@ -115,7 +115,8 @@ def batch_topk(df: DataFrame, key: str, field: VectorField, queries: DataFrame,
     """query_key, key, similarity and rank (from 1) of the k most similar rows for each query.
 
     Queries go to the tasks in blocks of QUERY_BLOCK_BYTES at most, one pass over df for each. A task scores its rows by
-    one matrix product a batch, keeps the best k of each query, and hands on k rows a query; a window merges them.
+    one matrix product a batch where the metric allows it, keeps the best k of each query, and hands on k rows a query; a
+    window merges them.
     """
     _positive(k, "k")
     kind = queries.schema[query_key].dataType
@@ -152,54 +153,130 @@ def merged(found: DataFrame, ids: list, kind: T.DataType, k: int) -> DataFrame:
     return ranked.join(F.broadcast(known), "_i").select("_q", "_k", SCORE, "rank")
 
 
+class Nearest:
+    """The k best rows of each query, by its place in q, as blocks of rows come; ties go to the smaller key, NaN is last.
+
+    Rows are scored by a matrix product where the metric allows it. Of Euclidean distance the product gives a bound that
+    rounding can't pass, and only pairs within it are measured, so that scores are the kernel's own. What a query has no
+    use for any more is left out before keys are looked at."""
+
+    def __init__(self, metric: Metric, q: np.ndarray, k: int):
+        self.metric, self.q, self.k = metric, q, k
+        self.size = np.einsum("ij,ij->i", q, q) if metric.name == "euclidean" else None
+        self.least = np.full(len(q), np.inf)  # what the k-th best has, turned over, or more
+        self.at, self.down, self.keys = np.empty(0, np.int64), np.empty(0), None
+        self.more: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.waiting = 0
+
+    def add(self, keys: pa.Array, m: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Rows m, normalised where the metric wants it, for the queries asked, or all."""
+        asked = np.arange(len(self.q)) if asked is None else asked
+        kind = "product" if self.metric.normalised or self.metric.name == "dot" else self.metric.name
+        cell = 1 if kind in {"product", "euclidean", "pearson"} else m.shape[1]
+        rows = max(1, min(SCORE_ROWS, SCORE_CELLS // cell))
+        for i in range(0, len(m), rows):
+            part, own = m[i : i + rows], keys.slice(i, rows)
+            step = max(1, SCORE_CELLS // (cell * len(part)))
+            size = np.einsum("ij,ij->i", part, part) if kind == "euclidean" else None
+            for j in range(0, len(asked), step):
+                to = asked[j : j + step]
+                if kind == "product":
+                    self.offer(to, self.q[to] @ part.T, own, part)
+                elif kind == "euclidean":
+                    self._measured(to, part, size, own)
+                else:
+                    self.offer(to, self.metric.kernel(part, self.q[to]).T, own)
+
+    def _measured(self, to: np.ndarray, m: np.ndarray, size: np.ndarray, keys: pa.Array) -> None:
+        """Pairs whose distance may be among the k least, by squares from a product and the error that they may have."""
+        gap = self.size[to][:, None] + size - 2 * (self.q[to] @ m.T)
+        error = 1e-12 * (self.size[to] + (size.max() if len(size) else 0))
+        if not np.isfinite(gap).all() or not np.isfinite(error).all():
+            step = max(1, SCORE_CELLS // m.size)
+            for own in (to[i : i + step] for i in range(0, len(to), step)):
+                self.offer(own, self.metric.kernel(m, self.q[own]).T, keys)
+            return
+        least = self.least[to]
+        most = np.full(len(to), np.inf)
+        known = least < 0  # minus 1 / (1 + distance)
+        most[known] = (-1 / least[known] - 1) ** 2
+        if len(m) > self.k and not known.all():
+            most = np.minimum(most, np.partition(gap, self.k - 1, axis=1)[:, self.k - 1] + error)
+        i, j = np.nonzero(gap <= (most * (1 + 1e-12) + error)[:, None])
+        self._put(to[i], self.pairs(to[i], m, j), keys, j)
+
+    def pairs(self, at: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Scores of single pairs, turned over: the same for equal rows, wherever they are, as a product's aren't."""
+        out, step = np.empty(len(j)), max(1, SCORE_CELLS // m.shape[1])
+        for x in range(0, len(j), step):
+            a, b = m[j[x : x + step]], self.q[at[x : x + step]]
+            out[x : x + step] = -1 / (1 + np.sqrt(((a - b) ** 2).sum(axis=1))) if self.size is not None else -(a * b).sum(axis=1)
+        return np.where(np.isnan(out), np.inf, out)
+
+    def offer(self, to: np.ndarray, s: np.ndarray, keys: pa.Array, m: np.ndarray | None = None, where: np.ndarray | None = None) -> None:
+        """Scores s of rows for the queries to. m: the rows, if the scores come from a product or a bound and pairs have
+        to be measured; where: which of them count."""
+        down = np.where(np.isnan(s), np.inf, -s)
+        if where is not None:
+            down[~where] = np.inf
+        most = self.least[to]
+        if down.shape[1] > self.k and np.isinf(most).any():
+            most = np.minimum(most, np.partition(down, self.k - 1, axis=1)[:, self.k - 1])
+        if m is not None:  # what a product may be off by
+            most = most + 1e-12 * np.abs(most) + 1e-13 * np.where(np.isfinite(s), np.abs(s), 0).max(axis=1, initial=0)
+        on = down <= most[:, None]
+        i, j = np.nonzero(on if where is None else on & where)
+        self._put(to[i], down[i, j] if m is None else self.pairs(to[i], m, j), keys, j)
+
+    def _put(self, at: np.ndarray, down: np.ndarray, keys: pa.Array, j: np.ndarray) -> None:
+        if len(at):
+            self.more.append((at, down, keys.take(pa.array(j))))
+            self.waiting += len(at)
+            if self.waiting > max(1 << 16, len(self.q) * self.k):
+                self._settle()
+
+    def _settle(self) -> None:
+        if not self.more:
+            return
+        at, down = np.concatenate([self.at, *(x[0] for x in self.more)]), np.concatenate([self.down, *(x[1] for x in self.more)])
+        keys = pa.concat_arrays([*([] if self.keys is None else [self.keys]), *(x[2] for x in self.more)])
+        if pa.types.is_integer(keys.type):
+            own = keys.to_numpy(zero_copy_only=False)
+        else:
+            own = np.unique(np.array([*keys.to_pylist(), None], object)[:-1], return_inverse=True)[1]
+        order = np.lexsort((own, down, at))
+        each = np.bincount(at, minlength=len(self.q))
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
+        order, last = order[rank < self.k], order[rank == self.k - 1]
+        self.at, self.down, self.keys = at[order], down[order], keys.take(pa.array(order))
+        self.least[at[last]] = down[last]
+        self.more, self.waiting = [], 0
+
+    def batch(self) -> Iterator[pa.RecordBatch]:
+        """_i, _k and similarity, if there are any. A score that was no number is minus infinity."""
+        self._settle()
+        if self.keys is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(self.at), self.keys, pa.array(-self.down)], names=["_i", "_k", SCORE])
+
+
+def matrix(field: VectorField, v: pa.Array) -> np.ndarray:
+    """Prepared vectors as rows, with norm 1 where the metric wants it; a zero vector stays."""
+    m = np.asarray(v.flatten(), np.float64).reshape(len(v), field.effective or field.dims)
+    if field.resolved.normalised:
+        size = np.sqrt(np.einsum("ij,ij->i", m, m))
+        m = np.divide(m, size[:, None], out=m.copy(), where=size[:, None] > 0)
+    return m
+
+
 def _batch(df: DataFrame, key: str, field: VectorField, vectors: list[list[float]], k: int) -> DataFrame:
-    spark, metric = df.sparkSession, field.resolved
-    held = spark.sparkContext.broadcast(np.array(vectors))
-    dims = field.effective or field.dims
-    normal = metric.normalised
+    held = df.sparkSession.sparkContext.broadcast(np.array(vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = held.value
-        best = np.full((len(q), 0), 0.0)
-        keys = np.empty((len(q), 0), object)
-        step = max(1, min(SCORE_ROWS, SCORE_CELLS // max(1, len(q) * (1 if normal or metric.name in {"dot", "pearson"} else dims))))
-        kind = None
+        near = Nearest(field.resolved, held.value, k)
         for batch in batches:
-            kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                flat = part.column(1)
-                m = np.asarray(flat.flatten(), np.float64).reshape(len(flat), dims)
-                if normal:
-                    size = np.sqrt(np.einsum("ij,ij->i", m, m))
-                    s = np.divide(m @ q.T, size[:, None], out=np.zeros((len(m), len(q))), where=size[:, None] > 0).T
-                else:
-                    s = metric.kernel(m, q).T
-                own = np.array([*part.column(0).to_pylist(), None], object)[:-1]
-                best, keys = np.concatenate([best, s], axis=1), np.concatenate([keys, np.broadcast_to(own, (len(q), len(own)))], axis=1)
-                if best.shape[1] > 2 * k:
-                    best, keys = _best(best, keys, k)
-        if best.shape[1]:
-            best, keys = _best(best, keys, k)
-            n = best.shape[1]
-            index = np.repeat(np.arange(len(q)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(keys.ravel().tolist(), kind), pa.array(best.ravel())], names=["_i", "_k", SCORE])
+            near.add(batch.column(0), matrix(field, batch.column(1)))
+        yield from near.batch()
 
     schema = T.StructType([T.StructField("_i", T.LongType()), T.StructField("_k", df.schema[key].dataType), T.StructField(SCORE, T.DoubleType())])
     rows = df.where(searchable(F.col(field.name))).select(F.col(key), prepared(field).alias("_v"))
     return rows.mapInArrow(run, schema)
-
-
-def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best columns of each row; NaN last, ties by key."""
-    out_s, out_k = np.empty((len(scores), min(k, scores.shape[1]))), np.empty((len(scores), min(k, scores.shape[1])), object)
-    for i in range(len(scores)):
-        s, own = scores[i], keys[i]
-        down = np.where(np.isnan(s), np.inf, -s)
-        if len(s) > k:
-            edge = np.partition(down, k - 1)[k - 1]
-            on = np.flatnonzero(down <= edge)
-            s, own, down = s[on], own[on], down[on]
-        order = sorted(range(len(s)), key=lambda j: (down[j], own[j]))[:k]
-        out_s[i], out_k[i] = s[order], own[order]
-    return out_s, out_k

@@ -29,7 +29,9 @@ def type_of(name: str) -> T.DataType:
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """kind: flat, kdtree (both exact), ivf or hnsw. clusters None: the root of the number of rows."""
+    """kind: flat, kdtree (both exact), ivf or hnsw. clusters None: the root of the number of rows. probes: lists that a
+    search of ivf looks at, at least; it looks at more where the index measures that they hold less than the share recall
+    of the nearest rows. recall None: never more."""
 
     kind: str = "flat"
     m: int = 16
@@ -37,12 +39,15 @@ class IndexSpec:
     ef_search: int = 50
     clusters: int | None = None
     probes: int = 10
+    recall: float | None = 0.95
 
     def __post_init__(self):
         if self.kind not in {"flat", "kdtree", "ivf", "hnsw"}:
             raise ValueError(f"unknown index {self.kind!r}")
         if min(self.m, self.ef_construction, self.ef_search, self.probes) <= 0 or (self.clusters is not None and self.clusters <= 0):
             raise ValueError("index parameters must be positive")
+        if self.recall is not None and not 0 < self.recall <= 1:
+            raise ValueError("recall must be over 0 and at most 1")
 
 
 @dataclass(frozen=True)

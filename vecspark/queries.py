@@ -19,7 +19,7 @@ from .operators.hnsw import HnswIndex
 from .operators.ivf import IvfIndex
 from .operators.table import Options, VectorDatabase, VectorTable
 from .plans.schema import IndexSpec, LargeField, TableSpec, VectorField
-from .plans.session import fresh_path, ready
+from .plans.session import fresh_path, ready, stored
 from .sources import exchange
 from .sources.migrate import Rules
 from .sources.storage import Store, UnknownTableError, merge_stores
@@ -271,8 +271,8 @@ LISTS = VectorField("v", DIMS, "euclidean", index=IndexSpec("ivf", probes=16))
 def found(index: HnswIndex | IvfIndex, rows: DataFrame, k: int = K) -> tuple[int, DataFrame, float]:
     """The number of queries, what the index finds for them, and its recall."""
     queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    got = index.batch_topk(queries, "query_id", "q", k).select("query_id", "vec_id")
-    want = search.batch_topk(rows, "vec_id", index.field, queries, "query_id", "q", k).select("query_id", "vec_id")
+    got = stored(index.batch_topk(queries, "query_id", "q", k).select("query_id", "vec_id"), "got")
+    want = stored(search.batch_topk(rows, "vec_id", index.field, queries, "query_id", "q", k).select("query_id", "vec_id"), "want")
     return queries.count(), got, want.join(got, ["query_id", "vec_id"], "left_semi").count() / max(1, want.count())
 
 
