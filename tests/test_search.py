@@ -218,6 +218,41 @@ def test_hnsw(spark, rows, tmp_path):
     assert best == sorted(best, reverse=True) and best[-1] >= 0.5
 
 
+def test_graph_links_the_nearest():
+    """Of the nodes before it a node links to the nearest, and keeps the nearest of those that link to it, in one step or
+    several."""
+    import pyarrow as pa
+
+    from vecspark.functions.metrics import resolve
+    from vecspark.operators.hnsw import Graph
+
+    for metric in map(resolve, ("cosine", "euclidean", "manhattan")):
+        m = np.random.default_rng(3).normal(size=(200, 6))
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        s = m @ m.T if metric.normalised else metric.kernel(m, m)
+        pick = lambda x, among: sorted(among, key=lambda y: (-s[x, y], y))[:8]  # noqa: E731, B023
+        own = [pick(x, range(x)) for x in range(200)]
+        want = [sorted(pick(x, {*own[x], *(y for y in range(x + 1, 200) if x in own[y])})) for x in range(200)]
+        for parts in ([200], [90, 1, 109]):
+            graph, at = Graph(4, metric, 1), 0
+            for n in parts:
+                graph.add(m[at : at + n])
+                at += n
+            level = graph.links[0]
+            assert [sorted(level.near[a:b].tolist()) for a, b in zip(level.edge[:-1], level.edge[1:], strict=True)] == want
+            near = search.Nearest(metric, m[:20], 5)
+            graph.search(near, pa.array(range(1000, 1200)), 60)
+            got = next(near.batch()).to_pydict()
+            best = {(i, 1000 + j) for i in range(20) for j in pick(i, range(200))[:5]}
+            assert len(best & set(zip(got["_i"], got["_k"], strict=True))) >= 95
+
+
+def test_task_hands_on_the_best_of_its_shards(spark, rows, tmp_path):
+    index = HnswIndex.build(rows, "id", VectorField("v", 8, "cosine", index=IndexSpec("hnsw")), str(tmp_path / "many"), shard_rows=10)
+    index.shards = index.shards.coalesce(1)
+    assert index.count == 30 and index._found([0, 1], [M[0].tolist(), M[1].tolist()], 4, 50).count() == 8
+
+
 def test_late_materialisation_reads_payloads_for_hits_only(spark, tmp_path):
     spark.createDataFrame([(i, x.tolist(), bytes(10)) for i, x in enumerate(M)], "id long, v array<float>, blob binary").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))

@@ -163,6 +163,8 @@ class Nearest:
     def __init__(self, metric: Metric, q: np.ndarray, k: int):
         self.metric, self.q, self.k = metric, q, k
         self.size = np.einsum("ij,ij->i", q, q) if metric.name == "euclidean" else None
+        #: Whether single pairs are measured after a product has chosen them.
+        self.exact = metric.normalised or metric.name in {"dot", "euclidean"}
         self.least = np.full(len(q), np.inf)  # what the k-th best has, turned over, or more
         self.at, self.down, self.keys = np.empty(0, np.int64), np.empty(0), None
         self.more: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
