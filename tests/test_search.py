@@ -258,3 +258,19 @@ def test_late_materialisation_reads_payloads_for_hits_only(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t"))
     out = search.late_topk(df, "id", VectorField("v", 8), M[4], 3)
     assert out.first()["id"] == 4 and len(out.first()["blob"]) == 10
+
+
+def test_vectors_reach_a_task_without_objects():
+    """index_snapshot: a shard's rows become a matrix with few copies, and none of an object for each element."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    flat = pa.array(np.random.default_rng(1).normal(size=4000 * 64).astype(np.float32))
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 64), pa.int32()), flat)
+    tracemalloc.start()
+    try:
+        m = search.matrix(VectorField("v", 64, "cosine"), column)
+        assert m.shape == (4000, 64) and tracemalloc.get_traced_memory()[1] <= 4 * m.nbytes
+    finally:
+        tracemalloc.stop()
