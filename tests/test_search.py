@@ -274,3 +274,22 @@ def test_vectors_reach_a_task_without_objects():
         assert m.shape == (4000, 64) and tracemalloc.get_traced_memory()[1] <= 4 * m.nbytes
     finally:
         tracemalloc.stop()
+
+
+def test_threshold_through_the_graph_of_a_large_shard():
+    """threshold_hnsw_truncated: as many nodes as the shard has are asked for, and linking takes no walk for each node."""
+    import time
+
+    import pyarrow as pa
+
+    from vecspark.functions.metrics import resolve
+    from vecspark.operators.hnsw import Graph
+
+    m = np.random.default_rng(4).normal(size=(6000, 32))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    began = time.process_time()
+    graph, near = Graph(16, resolve("cosine"), 1).add(m), search.Nearest(resolve("cosine"), m[:1], 5000)
+    graph.search(near, pa.array(range(6000)), 6000)
+    got = next(near.batch())["_k"].to_pylist()
+    assert time.process_time() - began < 15  # a walk for each node took over 2 ms
+    assert len(set(got) & set(np.argsort(-(m @ m[0]), kind="stable")[:5000].tolist())) >= 4500
