@@ -293,3 +293,19 @@ def test_threshold_through_the_graph_of_a_large_shard():
     got = next(near.batch())["_k"].to_pylist()
     assert time.process_time() - began < 15  # a walk for each node took over 2 ms
     assert len(set(got) & set(np.argsort(-(m @ m[0]), kind="stable")[:5000].tolist())) >= 4500
+
+
+def test_centroids_are_learned_by_products(monkeypatch):
+    """ivf_full_probe, ivf_threshold_full: Euclidean distances of all rows to all centroids without their differences."""
+    import time
+
+    from vecspark.operators import ivf
+
+    monkeypatch.setattr(ivf, "STEPS", 20)
+    m, field = np.random.default_rng(6).normal(size=(20_000, 64)), VectorField("v", 64, "euclidean")
+    began = time.thread_time()
+    c = ivf.learn(field, m, 150)
+    assert time.thread_time() - began < 6  # differences took over half a second for each of 20 steps
+    assert c.shape == (150, 64) and np.isfinite(c).all()
+    want = np.argmax(field.resolved.kernel(m[:500], c), axis=1)
+    assert (ivf._nearest(field, m, c)[:500] == want).mean() > 0.99
