@@ -255,10 +255,10 @@ class Nearest:
         self.more, self.waiting = [], 0
 
     def batch(self) -> Iterator[pa.RecordBatch]:
-        """_i, _k and similarity, if there are any. A score that was no number is minus infinity."""
+        """_i, _k and similarity, if there are any; what is last is no number."""
         self._settle()
         if self.keys is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(self.at), self.keys, pa.array(-self.down)], names=["_i", "_k", SCORE])
+            yield pa.RecordBatch.from_arrays([pa.array(self.at), self.keys, pa.array(np.where(self.down == np.inf, np.nan, -self.down))], names=["_i", "_k", SCORE])
 
 
 def matrix(field: VectorField, v: pa.Array) -> np.ndarray:
